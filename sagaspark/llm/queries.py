@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from sagaspark.llm import ranking, skeleton, splitting
+from sagaspark.llm import leakage, packing, ranking, skeleton, spam, splitting
 from sagaspark.session import table
 
 
@@ -35,7 +35,27 @@ def p7_found(spark, d):
     return ranking.top_items(ranked, 5).select("query_id", "raw_chunk_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p7_found, p7_ranking)}
+def p8_pack(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
+def p8_fill(spark, d):
+    """Containers, tokens and share of space used of each spec."""
+    packed = packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+    boxes = packed.groupBy("spec_id", "container").agg(F.sum("tokens").alias("t"))
+    spec = table(spark, d, "pack_specs")
+    return boxes.groupBy("spec_id").agg(F.count("*").alias("containers"), F.sum("t").alias("tokens")).join(spec, "spec_id").select("spec_id", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("used"))
+
+
+def p9_found(spark, d):
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p10_found(spark, d):
+    return spam.spam_documents(table(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p7_found, p7_ranking, p8_pack, p8_fill, p9_found, p10_found)}
 
 _SHARES = """
 h as (select query_id as q, route as r, raw_chunk_id as i, max(score) as s from search_hits where score is not null and not isnan(score) and query_id is not null and route is not null and raw_chunk_id is not null group by 1, 2, 3),
