@@ -181,7 +181,7 @@ def pack(items: DataFrame, limits: DataFrame, shard_items: int = SHARD_ITEMS) ->
         f = f.sort_values(["id", "piece", "char_start"], kind="stable").reset_index(drop=True)
         sizes = np.stack([f["tokens"], np.ones(len(f), int), f["loss_tokens"]], axis=1).astype(np.int64)
         box = fill(sizes, held[int(f["spec_id"].iloc[0])])
-        return f.assign(container=(f["shard"].astype("int64") << 32) + box)
+        return f.assign(container=f["shard"].astype("int64") * (1 << 32) + box)
 
     schema = items.schema.simpleString()[7:-1] + ",shard:int,container:bigint"
     return spread.groupBy("spec_id", "shard").applyInPandas(run, schema).drop("shard")

@@ -6,10 +6,14 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from sagaspark.llm import leakage, packing, ranking, skeleton, spam, splitting
+from sagaspark.llm import leakage, names, packing, ranking, skeleton, spam, splitting
 from sagaspark.session import table
 
 
+def p1_found(spark, d):
+    return names.linked_pairs(names.linked_records(table(spark, d, "entity_records"), table(spark, d, "alias_claims")))
+
+
 def p4_found(spark, d):
     out = splitting.split_oversized(table(spark, d, "raw_chunks"), table(spark, d, "chunk_configs"))
     return out.where("oversized").select("raw_chunk_id").distinct()
@@ -55,7 +59,7 @@ def p10_found(spark, d):
     return spam.spam_documents(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p7_found, p7_ranking, p8_pack, p8_fill, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_pieces, p6_found, p7_found, p7_ranking, p8_pack, p8_fill, p9_found, p10_found)}
 
 _SHARES = """
 h as (select query_id as q, route as r, raw_chunk_id as i, max(score) as s from search_hits where score is not null and not isnan(score) and query_id is not null and route is not null and raw_chunk_id is not null group by 1, 2, 3),
