@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sagaspark.queries import general
+from sagaspark.queries import general, knowledge
 
-MODULES = [general]
+MODULES = [general, knowledge]
 
 
 def all_queries() -> dict:
