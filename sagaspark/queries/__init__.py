@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sagaspark.queries import general, knowledge
+from sagaspark.queries import general, knowledge, reports
 
-MODULES = [general, knowledge]
+MODULES = [general, knowledge, reports]
 
 
 def all_queries() -> dict:
