@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sagaspark.queries import general, knowledge, reports
+from sagaspark.queries import general, knowledge, reports, texts
 
-MODULES = [general, knowledge, reports]
+MODULES = [general, knowledge, reports, texts]
 
 
 def all_queries() -> dict:
