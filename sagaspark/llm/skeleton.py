@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sagaspark.session import cut
+
 # Letters of Cyrillic and Greek, and marks, that are drawn like the character after them.
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
@@ -67,11 +69,10 @@ def look_alike_pairs(rows: DataFrame, group: list[str], key: str, text: str) ->
     blanks; repeated rows count once. Rows are first reduced to skeletons that more than one text has, so that
     groups of equal texts, however large, form no pairs.
     """
+    # Digests are taken where the texts are read; no text is shuffled.
+    digest = lambda c: F.unhex(F.md5(c))
     r = rows.select(*group, F.col(key).alias("k"), F.col(text).alias("t")).dropna()
-    # Only places with several different texts can hold a pair; long texts are compared by digest.
-    r = r.withColumn("h", F.sha2(F.col("t"), 256))
-    several = r.groupBy(*group).agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select(*group)
-    r = r.join(several, group, "left_semi").withColumn("s", F.sha2(skeleton_of("t"), 256)).select(*group, "s", "k", "h").distinct()
+    r = cut(r.select(*group, "k", digest(F.col("t")).alias("h"), digest(skeleton_of("t")).alias("s")).distinct())
     alike = r.groupBy(*group, "s").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select(*group, "s")
     r = r.join(alike, [*group, "s"], "left_semi")
     a, b = r.withColumnsRenamed({"k": "key_a", "h": "ha"}), r.withColumnsRenamed({"k": "key_b", "h": "hb"})
