@@ -202,45 +202,54 @@ def grams(p: list[str]) -> Counter:
     return out
 
 
+def _near(w: str) -> set[str]:
+    """What a word may meet by: itself, the names it is short for, and itself less each letter.
+
+    Words equal up to one slip share one of these, whatever their lengths and wherever the slip is.
+    """
+    return _MANY.get(w, set()) | {w} | ({w[:k] + w[k + 1 :] for k in range(len(w))} if len(w) > 2 else set())
+
+
 def index_terms(p: list[str]) -> dict[str, bool]:
-    """Terms by which a pair is found: n-grams long or combined enough that few names of a book share them.
+    """Terms by which a pair is found: every two names that can agree share one, and few other names of a book do.
 
-    Han: the whole name in order of its parts, its first and last four characters, and its last two. Words: each pair
-    of words of which one may be cut to a window of four or five letters, and a long word with another's initial. The value
-    says whether the term stands for the whole name; of a pair one must, so that two full names do not meet merely in
-    what they can be shortened to.
+    Han: the whole name in order of its parts and turned, its endings, and its characters without a kind. Words: the
+    whole name, each word with what another is near to, a long word with another's initial, and a name's only long
+    word. The value says whether the term stands for the whole name; of a pair one must, so that two full names do not
+    meet merely in what they can be shortened to.
     """
     out: dict[str, bool] = {}
     if is_han(p):
         for i in range(len(p)):
             s = _turned(p, i)
             core, _ = _han_kind(s)
-            out["h" + s] = True
-            if len(core) > 2:
-                out["h" + core] = True
-                out.setdefault("h" + core[-2:], False)
-            elif len(core) == 2:
-                out["h" + core] = True
-            if len(p) == 1 and len(core) in (3, 4):
-                out["h" + core[2:] + core[:2]] = out["h" + core[1:] + core[:1]] = True
-            if len(core) > 4:
-                out["h" + core[:4]] = out["h" + core[-4:]] = True
+            out["h" + s] = out["h" + core] = True
+            for k in range(1, len(core) - 1):
+                out.setdefault("h" + core[k:], False)
+        if len(s) > 2:
+            s = "".join(p)
+            out["h" + s[2:] + s[:2]] = out["h" + s[1:] + s[:1]] = True
+            for k in HAN_KINDS.split():
+                if k in s:
+                    out[f"k{k}" + "".join(sorted(s.replace(k, "", 1)))] = True
         return {t: m for t, m in out.items() if len(t) > 2}
-    words = [w for w in p if w not in KINDS]
-    out["j" + min(_turned(p, i) for i in range(len(p)))] = True
-    full = [sorted(_MANY.get(w, {w}) | {w}) for w in words]
-    for i, w in enumerate(words):
-        size = 5 if len(w) > 9 else 4
-        windows = {w[k : k + size] for k in range(max(1, len(w) - size + 1))} if len(w) > 1 else set()
-        for j, v in enumerate(words):
+    for i in range(len(p)):
+        out["j" + _turned(p, i)] = True
+    out["s" + "".join(sorted(p))] = True
+    near = [_near(w) for w in p]
+    for i, w in enumerate(p):
+        if len(w) == 1:
+            continue
+        for j, v in enumerate(p):
             if i == j:
                 continue
             if len(v) > 1:
-                out |= {f"p{f}|{x}": True for f in full[j] for x in windows}
-            if len(w) > 4:
-                for f in full[j]:
-                    t = f"i{f[0]}|{w}"
-                    out[t] = out.get(t, False) or len(v) == 1
+                out |= {f"p{f}|{x}": True for f in _MANY.get(v, set()) | {v} for x in near[i]}
+            for x in near[i]:
+                t = f"i{v[0]}|{x}"
+                out[t] = out.get(t, False) or len(v) == 1
+        if sum(len(v) > 1 for v in p) == 1:
+            out |= {f"o{x}": len(p) == 1 for x in near[i]}
     return out
 
 
@@ -391,12 +400,15 @@ def linked_records(records: DataFrame, aliases: DataFrame, cosine: float = COSIN
     vectors = g.join(weight, ["book", "g"]).groupBy("sid").agg(F.collect_list("g").alias("g"), F.collect_list((F.col("c") * F.col("w")).cast("float")).alias("x"))
 
     # Pairs that share an index term: first the exact check on the parts of both names, then the cosine of what is left.
-    term = kinds.select("book", "sid", "parts", "rare", F.explode("terms").alias("t")).select("book", F.substring("t", 2, 1000).alias("term"), F.col("t").startswith("1").alias("main"), "sid", "parts", "rare")
-    several = term.groupBy("book", "term").agg(F.count("*").alias("n"), F.max("main").alias("m")).where("n > 1 and m").select("book", "term")
-    term = term.join(several, ["book", "term"], "left_semi")
-    x = term.where("main").select("book", "term", F.col("sid").alias("s"), F.col("parts").alias("p"), F.col("rare").alias("rp"))
-    y = term.select("book", "term", "main", F.col("sid").alias("t"), F.col("parts").alias("q"), F.col("rare").alias("rq"))
-    pair = x.join(y, ["book", "term"]).where("s < t or (s != t and not main)").select("s", "t", "p", "q", "rp", "rq")
+    # Near names share many terms, so the pairs are made distinct while they are but two numbers.
+    term = kinds.select("book", "sid", F.explode("terms").alias("t")).select(F.xxhash64("book", F.substring("t", 2, 1000)).alias("term"), F.col("t").startswith("1").alias("main"), "sid")
+    several = term.groupBy("term").agg(F.count("*").alias("n"), F.max("main").alias("m")).where("n > 1 and m").select("term")
+    term = term.join(several, "term", "left_semi")
+    x = term.where("main").select("term", F.col("sid").alias("s"))
+    y = term.select("term", "main", F.col("sid").alias("t"))
+    pair = x.join(y, "term").where("s < t or (s != t and not main)").select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).distinct()
+    said = kinds.select("book", "sid", "parts", "rare")
+    pair = pair.join(said.withColumnsRenamed({"sid": "s", "parts": "p", "rare": "rp"}), "s").join(said.withColumnsRenamed({"sid": "t", "parts": "q", "rare": "rq"}), ["book", "t"]).select("s", "t", "p", "q", "rp", "rq")
 
     def agree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -409,7 +421,7 @@ def linked_records(records: DataFrame, aliases: DataFrame, cosine: float = COSIN
                     rows.append((min(s, t), max(s, t), ok, (t if first else s) if ok < 1 else 0, "".join(sorted(w for w in (p if first else q) if len(w) > 1)) if ok < 1 else ""))
             yield pd.DataFrame(rows, columns=["s", "t", "ok", "short", "key"])
 
-    agreed = pair.mapInPandas(agree, "s long, t long, ok double, short long, key string").distinct()
+    agreed = pair.mapInPandas(agree, "s long, t long, ok double, short long, key string")
     v = vectors.select("sid", "g", "x")
     agreed = agreed.join(v.withColumnsRenamed({"sid": "s", "g": "gp", "x": "xp"}), "s").join(v.withColumnsRenamed({"sid": "t", "g": "gq", "x": "xq"}), "t")
 
