@@ -355,6 +355,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return label
 
 
+def unclear_forms(links: DataFrame, holds: DataFrame) -> DataFrame:
+    """Short forms whose longer names are several persons: column short.
+
+    Longer names are one person's if full agreement, a record that holds both, or a short form that fits nothing else
+    leads from one to the other; forms that fit several names lead nowhere.
+    """
+    fits = cut(links.where("ok < 1").select("short", F.when(F.col("short") == F.col("s"), F.col("t")).otherwise(F.col("s")).alias("node")).distinct())
+    doubtful = cut(fits.groupBy("short").count().where("count > 1").select(F.col("short").alias("sid")))
+    near = links.select(F.col("s").alias("sid"), "t").join(doubtful, "sid", "left_anti").select(F.col("sid").alias("a"), F.col("t").alias("sid")).join(doubtful, "sid", "left_anti").select("a", F.col("sid").alias("b"))
+    own = holds.join(doubtful, "sid", "left_anti").select("node", "sid")
+    same = own.join(own.groupBy("node").agg(F.min("sid").alias("first")), "node").where("sid != first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    groups = components(near.unionByName(same).distinct())
+    known = fits.join(doubtful.select(F.col("sid").alias("short")), "short").join(groups, "node", "left")
+    return known.groupBy("short").agg(F.countDistinct(F.coalesce("part", "node")).alias("n")).where("n > 1").select("short")
+
+
 def linked_records(records: DataFrame, aliases: DataFrame, cosine: float = COSINE, linkage: float = LINKAGE) -> DataFrame:
     """Groups of entity records of a book that mean the same person or organisation: book, rec, entity (its least record).
 
@@ -416,12 +432,10 @@ def linked_records(records: DataFrame, aliases: DataFrame, cosine: float = COSIN
             for s, t, p, q, rp, rq in zip(*(f[c].tolist() for c in ("s", "t", "p", "q", "rp", "rq"))):
                 p, q = list(p), list(q)
                 if ok := agreement(p, q, rp, rq):
-                    # Of a shortened form, the longer name is kept: it may shorten only one.
-                    first = sum(map(len, p)) >= sum(map(len, q))
-                    rows.append((min(s, t), max(s, t), ok, (t if first else s) if ok < 1 else 0, "".join(sorted(w for w in (p if first else q) if len(w) > 1)) if ok < 1 else ""))
-            yield pd.DataFrame(rows, columns=["s", "t", "ok", "short", "key"])
+                    rows.append((s, t, ok, 0 if ok == 1 else t if sum(map(len, p)) >= sum(map(len, q)) else s))
+            yield pd.DataFrame(rows, columns=["s", "t", "ok", "short"])
 
-    agreed = pair.mapInPandas(agree, "s long, t long, ok double, short long, key string")
+    agreed = pair.mapInPandas(agree, "s long, t long, ok double, short long")
     v = vectors.select("sid", "g", "x")
     agreed = agreed.join(v.withColumnsRenamed({"sid": "s", "g": "gp", "x": "xp"}), "s").join(v.withColumnsRenamed({"sid": "t", "g": "gq", "x": "xq"}), "t")
 
@@ -433,15 +447,14 @@ def linked_records(records: DataFrame, aliases: DataFrame, cosine: float = COSIN
                 dot = sum(x * b.get(k, 0.0) for k, x in zip(gp, xp.tolist()))
                 keep.append(dot / math.sqrt(float(xp @ xp) * float(xq @ xq)))
             f["cos"] = keep
-            yield f.loc[f["cos"] >= cosine, ["s", "t", "cos", "ok", "short", "key"]]
+            yield f.loc[f["cos"] >= cosine, ["s", "t", "cos", "ok", "short"]]
 
-    links = cut(agreed.mapInPandas(check, "s long, t long, cos double, ok double, short long, key string"))
-    unclear = links.where("ok < 1").groupBy("short").agg(F.countDistinct("key").alias("n")).where("n > 1").select("short")
-    links = links.join(unclear, "short", "left_anti").select("s", "t", "cos", "ok")
-
-    # Records as nodes: stars around each name that several hold, and links between holders of two names.
+    links = cut(agreed.mapInPandas(check, "s long, t long, cos double, ok double, short long"))
     node = F.concat_ws("\u001f", "book", "rec")
     holds = cut(surfaces.join(kinds.select("book", "parts", "sid"), ["book", "parts"]).groupBy(node.alias("node"), "sid").agg(F.min("byname").alias("byname")))
+    links = links.join(unclear_forms(links, holds), "short", "left_anti").select("s", "t", "cos", "ok")
+
+    # Records as nodes: stars around each name that several hold, and links between holders of two names.
     first = holds.groupBy("sid").agg(F.min("node").alias("hub"))
     stars = holds.join(first, "sid").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     across = links.join(first.select(F.col("sid").alias("s"), F.col("hub").alias("a")), "s").join(first.select(F.col("sid").alias("t"), F.col("hub").alias("b")), "t").where("a != b").select("a", "b")

@@ -37,3 +37,11 @@ def test_index_equals_brute_force():
 
     agreed = [(a, b) for i, a in enumerate(p) for b in p[:i] if cosine(a, b) >= names.COSINE and names.agreement(a, b, [True] * len(a), [True] * len(b))]
     assert len(agreed) > 500 and all(meet(" ".join(a), " ".join(b)) for a, b in agreed)
+
+
+def test_short_form_of_one_person_with_several_spellings(spark):
+    rec = [("1", "Philippa Kelaysworth"), ("2", "Pip Kelaysworth"), ("3", "Philipppa Kelaysworth"), ("4", "P. Kelaysworth"), ("5", "Robert Falivdane"), ("6", "Rosalind Falivdane"), ("7", "R. Falivdane")]
+    r = spark.createDataFrame([(*x, "B") for x in rec], "canonical_id string, canonical_name string, book_id string")
+    a = spark.createDataFrame([], "canonical_id string, surface_name string")
+    got = {tuple(x) for x in names.linked_pairs(names.linked_records(r, a)).collect()}
+    assert got == {(a, b) for a in "1234" for b in "1234" if a < b}
