@@ -39,6 +39,8 @@ HAN_KINDS = "商会 镖局 书院 门 宗 帮 楼 阁 派 堂 会"
 COSINE, LINKAGE = 0.45, 0.5
 #: What is left of the similarity of two records that both have by-names and share none.
 CONFLICT = 0.45
+#: A word of so few records, or of at most this share of the records of a near word, can be its misspelling.
+FEW, SLIP_SHARE = 2, 0.1
 #: Records whose components one call groups, about.
 BUCKET = 4000
 #: A form of address is disclosed for at least this many records and this share of all records.
@@ -99,11 +101,11 @@ def _given(a: str, b: str) -> bool:
     return bool(fa & fb)
 
 
-def agreement(a: list[str], b: list[str], rare_a: list[bool], rare_b: list[bool]) -> float:
+def agreement(a: list[str], b: list[str], rare_a: list[bool], rare_b: list[bool], held_a: list[int] | None = None, held_b: list[int] | None = None) -> float:
     """How far two names can be one: 1 the same in all parts, 0.8 one is a shortened form of the other, 0 neither.
 
     ``rare`` says of each part whether few records of the book have it: only then can it be a slip of the pen for
-    a near one.
+    a near one. ``held`` says how many records have it: it can also be a slip for one that is far more common.
     """
     if is_han(a) != is_han(b):
         return 0.0
@@ -123,7 +125,8 @@ def agreement(a: list[str], b: list[str], rare_a: list[bool], rare_b: list[bool]
                 elif test == "form":
                     ok = len(x) > 1 and len(y) > 1 and _given(x, y)
                 elif test == "slip":
-                    ok = min(len(x), len(y)) >= 3 and (rare_a[i] or rare_b[j]) and _slip(x, y)
+                    rare = rare_a[i] or rare_b[j] or (held_a is not None and held_b is not None and _much_rarer(held_a[i], held_b[j]))
+                    ok = min(len(x), len(y)) >= 3 and rare and _slip(x, y)
                     slips += ok
                 else:
                     ok = (len(x) == 1) != (len(y) == 1) and x[0] == y[0]
@@ -145,6 +148,10 @@ def agreement(a: list[str], b: list[str], rare_a: list[bool], rare_b: list[bool]
     return 0.0
 
 
+def _much_rarer(x: int, y: int) -> bool:
+    return min(x, y) <= SLIP_SHARE * max(x, y)
+
+
 def _turned(p: list[str], i: int) -> str:
     return "".join(p[i:] + p[:i])
 
@@ -400,9 +407,9 @@ def linked_records(records: DataFrame, aliases: DataFrame, cosine: float = COSIN
     schema = "book string, rec string, name string, own boolean, parts array<string>, byname boolean, terms array<string>"
     surfaces = cut(told.join(own_name, ["book", "rec"], "left").mapInPandas(split, schema).where("size(parts) > 0"))
     counts = surfaces.select("book", "rec", F.explode(F.array_distinct("parts")).alias("w")).distinct().groupBy("book", "w").count()
-    rare = surfaces.select("book", "parts", F.posexplode("parts").alias("i", "w")).distinct().join(counts, ["book", "w"]).groupBy("book", "parts").agg(F.transform(F.array_sort(F.collect_set(F.struct("i", (F.col("count") <= 2).alias("r")))), lambda s: s.r).alias("rare"))
+    held = surfaces.select("book", "parts", F.posexplode("parts").alias("i", "w")).distinct().join(counts, ["book", "w"]).groupBy("book", "parts").agg(F.transform(F.array_sort(F.collect_set(F.struct("i", F.col("count").alias("n")))), lambda s: s.n).alias("held"))
     kinds = surfaces.groupBy("book", "parts").agg(F.max("terms").alias("terms"))
-    kinds = cut(kinds.join(rare, ["book", "parts"]).withColumn("sid", F.xxhash64("book", F.concat_ws("\u001f", "parts"))))
+    kinds = cut(kinds.join(held, ["book", "parts"]).withColumn("sid", F.xxhash64("book", F.concat_ws("\u001f", "parts"))))
 
     # Weights of n-grams: how rare each is among the names of the book.
     def gram_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -423,15 +430,15 @@ def linked_records(records: DataFrame, aliases: DataFrame, cosine: float = COSIN
     x = term.where("main").select("term", F.col("sid").alias("s"))
     y = term.select("term", "main", F.col("sid").alias("t"))
     pair = x.join(y, "term").where("s < t or (s != t and not main)").select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).distinct()
-    said = kinds.select("book", "sid", "parts", "rare")
-    pair = pair.join(said.withColumnsRenamed({"sid": "s", "parts": "p", "rare": "rp"}), "s").join(said.withColumnsRenamed({"sid": "t", "parts": "q", "rare": "rq"}), ["book", "t"]).select("s", "t", "p", "q", "rp", "rq")
+    said = kinds.select("book", "sid", "parts", "held")
+    pair = pair.join(said.withColumnsRenamed({"sid": "s", "parts": "p", "held": "hp"}), "s").join(said.withColumnsRenamed({"sid": "t", "parts": "q", "held": "hq"}), ["book", "t"]).select("s", "t", "p", "q", "hp", "hq")
 
     def agree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for s, t, p, q, rp, rq in zip(*(f[c].tolist() for c in ("s", "t", "p", "q", "rp", "rq"))):
-                p, q = list(p), list(q)
-                if ok := agreement(p, q, rp, rq):
+            for s, t, p, q, hp, hq in zip(*(f[c].tolist() for c in ("s", "t", "p", "q", "hp", "hq"))):
+                p, q, hp, hq = list(p), list(q), hp.tolist(), hq.tolist()
+                if ok := agreement(p, q, [n <= FEW for n in hp], [n <= FEW for n in hq], hp, hq):
                     rows.append((s, t, ok, 0 if ok == 1 else t if sum(map(len, p)) >= sum(map(len, q)) else s))
             yield pd.DataFrame(rows, columns=["s", "t", "ok", "short"])
 

@@ -45,3 +45,13 @@ def test_short_form_of_one_person_with_several_spellings(spark):
     a = spark.createDataFrame([], "canonical_id string, surface_name string")
     got = {tuple(x) for x in names.linked_pairs(names.linked_records(r, a)).collect()}
     assert got == {(a, b) for a in "1234" for b in "1234" if a < b}
+
+
+def test_a_common_slip_of_a_far_more_common_word(spark):
+    surnames = [a + b for a in ("brack", "winter", "oxen", "hallow", "dunmor") for b in ("hurst", "field", "gate", "thorn", "stow", "wick", "moor", "bridge")]
+    rec = [(f"a{k}", f"Katherine {s}") for k, s in enumerate(surnames)] + [(f"b{k}", f"Kathrine {s}") for k, s in enumerate(surnames[:3])]
+    r = spark.createDataFrame([(*x, "B") for x in rec], "canonical_id string, canonical_name string, book_id string")
+    a = spark.createDataFrame([], "canonical_id string, surface_name string")
+    assert {tuple(x) for x in names.linked_pairs(names.linked_records(r, a)).collect()} == {(f"a{k}", f"b{k}") for k in range(3)}
+    said = ["Kathrine", "Moor"], ["Katherine", "Moor"], [False] * 2, [False] * 2
+    assert names.agreement(*said, [30, 9], [300, 9]) == 1.0 and names.agreement(*said, [60, 9], [300, 9]) == 0.0
