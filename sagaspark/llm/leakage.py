@@ -1,8 +1,8 @@
 """Test passages that occur in corpus documents, wholly or in part, even when edited.
 
-Seeds: the n-grams of the test items that few items share. A corpus text that holds enough of an item's seeds is a
-candidate; around its seeds it is aligned with the item by Smith-Waterman, piece after piece, and the share of the
-item's tokens that the pieces reproduce decides.
+Seeds: the n-grams of the test items, however many items share them. A corpus text that holds enough of an item's seeds
+and enough of its tokens in any order is a candidate; around its seeds it is aligned with the item by Smith-Waterman,
+piece after piece, and the share of the item's tokens that the pieces reproduce decides.
 
 The test items are a stated query set, held against all documents in blocks of at most ``BLOCK`` items; documents are
 read once per block and never shuffled.
@@ -22,41 +22,43 @@ from sagaspark.llm import tokens as tk
 #: Items handled in one pass; bounds what each task receives (about 1 KB an item).
 BLOCK = 4096
 SEED_EN, SEED_HAN = 3, 4
-#: A seed may belong to so many items; more common ones are phrases of the trade, not of an item.
-RARE = 3
-#: Least share of an item's rare seeds in a text for it to be aligned.
+#: Least share of an item's seeds in a text for it to be aligned.
 SEED_SHARE = 0.05
 MATCH, MISMATCH, GAP = 2, -2, -2
-#: Least score of a piece, in matches net of edits, for items of words and of Han characters.
+#: Least score of a piece, in matches net of edits, for long items of words and of Han characters.
 PIECE_EN, PIECE_HAN = 7, 11
 #: Cells of the alignments scored together; bounds memory.
 ALIGN_CELLS = 4_000_000
 
 
 class Items:
-    """Tokens and rare seeds of a block of test items."""
+    """Tokens and seeds of a block of test items; the seed of an item shorter than a seed is all of it."""
 
-    def __init__(self, ids: list, texts: list[str], rare: int = RARE):
+    def __init__(self, ids: list, texts: list[str]):
         t = tk.tokenise(texts)
         cuts = np.searchsorted(t.text, np.arange(len(texts) + 1))
         self.ids, self.tokens = ids, [t.hash[a:b] for a, b in zip(cuts, cuts[1:])]
         self.han = [bool(len(x) and t.han[a:b].mean() > 0.5) for x, a, b in zip(self.tokens, cuts, cuts[1:])]
         self.vocabulary = np.unique(t.hash)
-        seeds: dict[bool, list] = {False: [], True: []}
+        self.words = [np.unique(x) for x in self.tokens]
+        self.count = np.zeros(len(texts))
+        self.size = [min(SEED_HAN if h else SEED_EN, len(x)) for h, x in zip(self.han, self.tokens)]
+        seeds: dict[tuple[bool, int], list] = {}
         for i, x in enumerate(self.tokens):
-            g = np.unique(tk.ngrams(x, SEED_HAN if self.han[i] else SEED_EN))
-            seeds[self.han[i]].append((g, np.full(len(g), i)))
+            if len(x):
+                g = np.unique(tk.ngrams(x, self.size[i]))
+                self.count[i] = len(g)
+                seeds.setdefault((self.han[i], self.size[i]), []).append((g, np.full(len(g), i)))
         self.seeds = {}
-        self.count = np.zeros(len(texts))
-        for h, parts in seeds.items():
-            g = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-            who = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+        for key, parts in seeds.items():
+            g, who = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
             order = np.argsort(g, kind="stable")
             g, who = g[order], who[order]
-            _, where, times = np.unique(g, return_inverse=True, return_counts=True)
-            keep = times[where] <= rare if len(g) else np.zeros(0, bool)
-            self.seeds[h] = g[keep], who[keep], tk.Lookup(np.unique(g[keep]))
-            self.count += np.bincount(who[keep], minlength=len(texts))
+            self.seeds[key] = g, who, tk.Lookup(np.unique(g))
+
+    def least(self, i: int, least_share: float) -> int:
+        """Least score of a piece: a short item's is the share asked for, though no less than a seed."""
+        return min(PIECE_HAN if self.han[i] else PIECE_EN, max(self.size[i], int(np.ceil(least_share * len(self.tokens[i])))))
 
 
 def _best_pieces(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, slice, slice]]:
@@ -130,14 +132,24 @@ def _windows(places: np.ndarray, reach: int, end: int) -> np.ndarray:
     return np.unique(np.concatenate([np.arange(max(0, p - reach), min(end, p + reach)) for p in places]))
 
 
+def _within(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which tokens are among the sorted ``known``."""
+    return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+
+
+def _reach(there: np.ndarray, least: int) -> np.ndarray:
+    """Which places a piece of at least ``least`` may cover: each token that the other side lacks costs it a match or more."""
+    p = np.concatenate([[0], np.cumsum(np.where(there, 1, -1))])
+    return np.maximum.accumulate(p[::-1])[::-1][1:] - np.minimum.accumulate(p)[:-1] >= least
+
+
 def find(texts: list[str], items: Items, least_share: float) -> list[tuple[int, int, float]]:
     """(text, item, share) of all texts that reproduce at least ``least_share`` of an item."""
     t = tk.tokenise(texts)
     sizes = np.bincount(t.text, minlength=len(texts))
     first = np.cumsum(sizes) - sizes
     found, pairs, least, enough = [], [], [], []
-    for h, (seeds, who, lookup) in items.seeds.items():
-        n = SEED_HAN if h else SEED_EN
+    for (_, n), (seeds, who, lookup) in items.seeds.items():
         g = tk.ngrams(t.hash, n)
         hit = lookup.places(g)
         hit = hit[t.text[hit] == t.text[hit + n - 1]]
@@ -151,16 +163,26 @@ def find(texts: list[str], items: Items, least_share: float) -> list[tuple[int,
         order = np.lexsort((g[place], pair))
         place, pair, gg = place[order], pair[order], g[place][order]
         cuts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        for a, b in zip(cuts, [*cuts[1:], len(pair)]):
+        new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (gg[1:] != gg[:-1])])
+        enough_seeds = np.add.reduceat(new.astype(np.int64), cuts) >= np.maximum(1.0, SEED_SHARE * items.count[pair[cuts] % len(items.ids)])
+        ends = np.concatenate([cuts[1:], [len(pair)]])
+        for a, b in zip(cuts[enough_seeds], ends[enough_seeds]):
             x, i = divmod(int(pair[a]), len(items.ids))
-            distinct = 1 + int((gg[a + 1 : b] != gg[a : b - 1]).sum())
-            if distinct < max(1.0, SEED_SHARE * items.count[i]):
-                continue
             tok = items.tokens[i]
             near = _windows(np.unique(place[a:b]) - first[x], 40 + len(tok) // 8, int(sizes[x]))
-            pairs.append((tok, t.hash[first[x] : first[x] + sizes[x]][near]))
+            text = t.hash[first[x] : first[x] + sizes[x]][near]
+            # What no piece can reach is left out of the text, but for enough of it that no piece leads over the gap.
+            score = items.least(i, least_share)
+            reach = _reach(_within(text, items.words[i]), score)
+            if not reach.any():
+                continue
+            text = text[_windows(np.flatnonzero(reach), 2 * PIECE_HAN, len(text))]
+            there = _within(tok, np.sort(text))
+            if (there & _reach(there, score)).sum() < least_share * len(tok):
+                continue
+            pairs.append((tok, text))
             found.append((x, i))
-            least.append(PIECE_HAN if h else PIECE_EN)
+            least.append(score)
             enough.append(least_share * len(tok))
     got = reproduced(pairs, least, enough)
     return [(x, i, n / len(items.tokens[i])) for (x, i), n, e in zip(found, got, enough) if n >= e]
