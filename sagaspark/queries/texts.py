@@ -120,6 +120,43 @@ def op_i7_substring_search(spark, d):
     return docs(spark, d).join(F.broadcast(qs), F.lower("text").contains(F.col("qt"))).select("qid", "doc_id")
 
 
+def _asked(spark, d):
+    """The stated query set: the title, or without one the first sentence, of every row whose id is divisible by 100."""
+    x = table(spark, d, "documents").where("doc_id % 100 = 0")
+    title = F.when(F.trim("title") != "", F.col("title"))
+    return x.select(F.col("doc_id").alias("qid"), tx.normalise(F.trim(F.coalesce(title, F.get(tx.sentences(F.col("text")), F.lit(0))))).alias("qt")).where("qt != ''")
+
+
+def _normal_docs(spark, d):
+    return docs(spark, d).select("doc_id", tx.normalise("text").alias("text"))
+
+
+@q()
+def op_i5_query_terms_all(spark, d):
+    """Terms of all scripts; op_i5_query_terms counts English ones, as its SQL does."""
+    return table(spark, d, "eval_items").select("item_id", F.size(rt.terms(tx.normalise("text"))).cast("long").alias("terms"))
+
+
+@q()
+def op_i6_full_text_all(spark, d):
+    """Every hundredth row against all rows, in all scripts."""
+    x = _normal_docs(spark, d)
+    stats = x.agg(F.count("*").alias("n"), F.avg(F.size(rt.terms(F.col("text")))).alias("avgdl"))
+    qs = _asked(spark, d).select("qid", F.explode(rt.terms(F.col("qt"))).alias("term"))
+    # Only the terms asked for are shuffled; the lengths count all.
+    tf = x.select("doc_id", F.explode(rt.terms(F.col("text"))).alias("term")).join(F.broadcast(qs.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    dl = x.select("doc_id", F.size(rt.terms(F.col("text"))).alias("dl"))
+    s = rt.bm25(tf.join(dl, "doc_id"), stats, qs, "doc_id").withColumn("score", F.round("score", 6))
+    return rt.top(s, ["qid"], [F.desc("score"), "doc_id"], 20).select("qid", "doc_id", "rank")
+
+
+@q()
+def op_i7_substring_search_all(spark, d):
+    """Every hundredth row against all rows."""
+    qs = _asked(spark, d).select("qid", F.lower("qt").alias("qt"))
+    return _normal_docs(spark, d).join(qs, F.lower("text").contains(F.col("qt"))).select("qid", "doc_id")
+
+
 @q("select query_id, raw_chunk_id, row_number() over (partition by query_id order by grp, raw_chunk_id) as pos from (select query_id, raw_chunk_id, min(case route when 'fts' then 0 else 1 end) as grp from search_hits where route in ('fts', 'trigram') group by 1, 2)")
 def op_i8_candidate_merge(spark, d):
     h = table(spark, d, "search_hits").where("route in ('fts', 'trigram')").groupBy("query_id", "raw_chunk_id").agg(F.min(F.when(F.col("route") == "fts", 0).otherwise(1)).alias("grp"))
