@@ -1,17 +1,21 @@
 """Linking the spellings of one person or organisation.
 
-Names become weighted vectors of character n-grams; a sparse join on rare index terms finds pairs with a cosine above
-the threshold within a book, an exact check of the parts of the names rules on each, and the records are grouped by
-average linkage. Names disclosed for several records of a book (other than forms of address) link them too.
+Names become weighted vectors of character n-grams. A sparse join with a prefix filter finds every pair of names of a
+book whose cosine reaches a threshold; of those an exact check of the names' parts keeps the ones that can be one. Records
+are grouped by average linkage over the cosines. Short forms, titles, affixes and characters written for one another are
+learnt from the names that records disclose; what a name that several records disclose is worth is told from how alike
+their own names are.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -21,64 +25,70 @@ from pyspark.sql import functions as F
 from sagaspark.llm.skeleton import skeleton
 from sagaspark.session import cut
 
-# Common English short forms, titles, abbreviations and kinds of organisations; Chinese likewise.
-SHORT_FORMS = {
-    "alexander": "alec alex sandy xander lex", "abigail": "abby abbie gail", "augustine": "gus austin augie", "bartholomew": "bart tolly barty", "christopher": "chris kit kester topher", "dorothea": "dot dora thea dolly dottie",
-    "edward": "ned ted eddie ed teddy", "elizabeth": "lizzie beth betty eliza liz bess betsy libby", "frederick": "fred freddie freddy fritz rick", "gwendolyn": "gwen wendy gwennie", "henry": "harry hal hank", "ignatius": "iggy nace inigo",
-    "isabella": "bella izzy isa belle ibby", "josephine": "josie jo josey posy", "katherine": "kate kitty kathy kit kat katie", "lawrence": "larry lorrie lance laurie", "margaret": "maggie peggy meg madge daisy greta", "matilda": "tilly maud mattie tilda",
-    "nathaniel": "nat nate nathan", "octavia": "tavy tavia octy", "philippa": "pip pippa flip", "richard": "rick dick rich richie", "robert": "rob bob bobby robin bert", "rosalind": "roz rosa ros lindy rosie", "susannah": "sukey sue susie sanna suki",
-    "theodore": "theo ted teddy dory", "valentine": "val vally", "william": "will bill billy liam willie", "winifred": "winnie freda win freddie", "zachary": "zack zach zak", "james": "jim jimmy jamie", "john": "jack johnny", "thomas": "tom tommy", "charles": "charlie chuck", "george": "georgie", "michael": "mike mick", "samuel": "sam sammy", "benjamin": "ben benny", "daniel": "dan danny", "david": "dave davy", "joseph": "joe joey", "andrew": "andy drew", "anthony": "tony", "rebecca": "becky", "catherine": "cathy cate", "eleanor": "nell nora ellie", "mary": "molly polly", "sarah": "sally", "ann": "nan nancy annie", "jane": "jenny janet", "victoria": "vicky tori",
-}
-TITLES = frozenset("captain dame doctor dr elder lady lord magister master mister mr mrs miss sir the of and madam professor prof col colonel major".split())
-KINDS = {"academy": "acad", "company": "co comp", "order": "ord", "guild": "gld", "house": "hse", "brotherhood": "bhd bro", "society": "soc", "league": "lge"}
-HAN_TITLES = "掌门 真人 师兄 将军 先生 长老 师姐 大人 众"
-HAN_BEFORE = "小 老 阿"
-HAN_KINDS = "商会 镖局 书院 门 宗 帮 楼 阁 派 堂 会"
-
-#: Least cosine of a candidate pair, and least average linkage.
-COSINE, LINKAGE = 0.45, 0.5
+#: Words that join the parts of a name.
+JOINING = frozenset(["the", "of", "and"])
+#: Least cosine of two names, and least average linkage of two groups.
+COSINE, LINKAGE = 0.45, 0.4
 #: What is left of the similarity of two records that both have by-names and share none.
 CONFLICT = 0.45
+#: Least mean cosine of the own names of the records that share a by-name; below it the by-name addresses anybody.
+COHERENCE = 0.3
 #: A word of so few records, or of at most this share of the records of a near word, can be its misspelling.
 FEW, SLIP_SHARE = 2, 0.1
-#: Records whose components one call groups, about.
+#: Items whose components one call groups, about.
 BUCKET = 4000
-#: A form of address is disclosed for at least this many records and this share of all records.
-ADDRESS_RECORDS, ADDRESS_SHARE = 6, 0.003
+#: Least share of the evidence of its kind that a learnt form must have; there are at most as many as its inverse.
+LEAST = {"form": 1 / 1000, "title": 1 / 50, "after": 1 / 100, "before": 1 / 20, "char": 1 / 2000}
 
-_FULL = {s: full for full, shorts in SHORT_FORMS.items() for s in shorts.split()}
-_MANY = {s: {f for f, shorts in SHORT_FORMS.items() if s in shorts.split()} for s in _FULL}
-_KIND = {a: k for k, v in KINDS.items() for a in [k, *v.split()]}
 _HAN = re.compile(r"[㐀-鿿]")
 _PINYIN = re.compile(r"(?:(?:zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?(?:iang|iong|uang|ang|eng|ing|ong|ian|iao|uai|uan|ai|ei|ao|ou|an|en|in|un|ia|ie|iu|ua|ue|ui|uo|er|a|o|e|i|u)){1,3}")
 
 
+@dataclass(frozen=True)
+class Forms:
+    """What is known of a corpus's names: words to the fuller ones they stand for, titles, Han affixes, Han characters."""
+
+    full: dict = field(default_factory=dict)
+    titles: frozenset = frozenset()
+    before: tuple = ()
+    after: tuple = ()
+    chars: dict = field(default_factory=dict)
+
+    def of(self, w: str) -> frozenset:
+        return self.full.get(w, frozenset()) | {w}
+
+
+NOTHING = Forms()
+
+
 def plain(text: str) -> str:
     """Look-alikes, case, accents and blanks folded."""
     s = unicodedata.normalize("NFD", skeleton(text)).casefold()
     return " ".join("".join(c for c in s if not unicodedata.combining(c)).split())
 
 
-def parts(text: str) -> list[str]:
-    """Parts of a name: words without titles and marks, or runs of Han characters without address and kind of voice."""
+def _words(s: str) -> list[str]:
+    return re.findall(r"[^\W_]+", s.replace("-", "").replace("'", ""))
+
+
+def _runs(s: str) -> list[str]:
+    s = re.sub(r"之", " ", s) if re.search(r"^..之", s) else s
+    return re.findall(r"[㐀-鿿a-z0-9]+", s)
+
+
+def parts(text: str, forms: Forms = NOTHING) -> list[str]:
+    """Parts of a name: words without titles and joining words, or runs of Han characters without what is put before."""
     s = plain(text)
-    if _HAN.search(s):
-        s = re.sub(r"之", " ", s) if re.search(r"^..之", s) else s
-        out = re.findall(r"[㐀-鿿a-z0-9]+", s)
-        if not out:
-            return []
-        if len(out) == 1 and len(out[0]) > 2:
-            w = out[0]
-            for t in HAN_TITLES.split():
-                if w.endswith(t) and len(w) - len(t) >= 2:
-                    w = w[: -len(t)]
-                    break
-            if w[0] in HAN_BEFORE and len(w) > 2:
-                w = w[1:]
-            out = [w]
-        return out
-    words = re.findall(r"[^\W_]+", s.replace("-", "").replace("'", ""))
-    return [_KIND.get(w, w) for w in words if w not in TITLES] or words
+    if not _HAN.search(s):
+        words = _words(s)
+        return [w for w in words if w not in JOINING and w not in forms.titles] or words
+    out = _runs(s.translate(str.maketrans(forms.chars)))
+    if len(out) == 1:
+        w = out[0]
+        for p in forms.before:
+            if w.startswith(p) and len(w) - len(p) >= 2:
+                return [w[len(p) :]]
+    return out
 
 
 def is_han(p: list[str]) -> bool:
@@ -96,12 +106,7 @@ def _close(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (x[:2] == y[1::-1] and x[2:] == y[2:])
 
 
-def _given(a: str, b: str) -> bool:
-    fa, fb = _MANY.get(a, {a}) | {a}, _MANY.get(b, {b}) | {b}
-    return bool(fa & fb)
-
-
-def agreement(a: list[str], b: list[str], rare_a: list[bool], rare_b: list[bool], held_a: list[int] | None = None, held_b: list[int] | None = None) -> float:
+def agreement(a: list[str], b: list[str], rare_a: list[bool], rare_b: list[bool], held_a: list[int] | None = None, held_b: list[int] | None = None, forms: Forms = NOTHING) -> float:
     """How far two names can be one: 1 the same in all parts, 0.8 one is a shortened form of the other, 0 neither.
 
     ``rare`` says of each part whether few records of the book have it: only then can it be a slip of the pen for
@@ -110,7 +115,7 @@ def agreement(a: list[str], b: list[str], rare_a: list[bool], rare_b: list[bool]
     if is_han(a) != is_han(b):
         return 0.0
     if is_han(a):
-        return _han_agreement(a, b)
+        return _han_agreement(a, b, forms)
     if sorted(a) == sorted(b):
         return 1.0
     if len("".join(a)) == len("".join(b)) and {_turned(a, i) for i in range(len(a))} & {_turned(b, i) for i in range(len(b))}:
@@ -123,7 +128,7 @@ def agreement(a: list[str], b: list[str], rare_a: list[bool], rare_b: list[bool]
                 if test == "same":
                     ok = x == y
                 elif test == "form":
-                    ok = len(x) > 1 and len(y) > 1 and _given(x, y)
+                    ok = len(x) > 1 and len(y) > 1 and bool(forms.of(x) & forms.of(y))
                 elif test == "slip":
                     rare = rare_a[i] or rare_b[j] or (held_a is not None and held_b is not None and _much_rarer(held_a[i], held_b[j]))
                     ok = min(len(x), len(y)) >= 3 and rare and _slip(x, y)
@@ -141,11 +146,8 @@ def agreement(a: list[str], b: list[str], rare_a: list[bool], rare_b: list[bool]
     rest = rest_a or rest_b
     if all(len(w) == 1 for w in rest):
         return 0.8 if short else 1.0
-    kinds = [w for w in rest if w in KINDS]
-    least = min(len(a), len(b))
-    if least >= 2 and not short and len(rest) - len(kinds) <= 1 and any(w in KINDS for w in [*a, *b]):
-        return 0.8
-    return 0.0
+    # One part more is a place or a kind that the shorter name leaves out.
+    return 0.8 if min(sum(len(w) > 1 for w in a), sum(len(w) > 1 for w in b)) >= 2 and not short and len(rest) == 1 else 0.0
 
 
 def _much_rarer(x: int, y: int) -> bool:
@@ -163,100 +165,51 @@ def _slip(x: str, y: str) -> bool:
     return not (_PINYIN.fullmatch(x) and _PINYIN.fullmatch(y))
 
 
-def _han_kind(w: str) -> tuple[str, str]:
-    for k in HAN_KINDS.split():
-        if w.endswith(k) and len(w) - len(k) >= 2:
-            return w[: -len(k)], k
-    return w, ""
+def _core(w: str, forms: Forms) -> tuple[str, frozenset]:
+    """A Han name without the learnt endings, and these."""
+    ends: set = set()
+    while True:
+        end = next((t for t in forms.after if w.endswith(t) and len(w) - len(t) >= 2), None)
+        if end is None:
+            return w, frozenset(ends)
+        w, ends = w[: -len(end)], ends | {end}
 
 
-def _han_agreement(a: list[str], b: list[str]) -> float:
+def _han_agreement(a: list[str], b: list[str], forms: Forms) -> float:
     sa, sb = "".join(a), "".join(b)
-    if sa == sb or len(sa) == len(sb) and ({_turned(a, i) for i in range(len(a))} & {_turned(b, i) for i in range(len(b))} or {sa[2:] + sa[:2], sa[1:] + sa[:1]} & {sb} and (len(a) > 1 or len(b) > 1)):
+    turned_a, turned_b = {_turned(a, i) for i in range(len(a))}, {_turned(b, i) for i in range(len(b))}
+    if turned_a & turned_b or len(sa) == len(sb) and (len(a) > 1 or len(b) > 1) and sb in (sa[2:] + sa[:2], sa[1:] + sa[:1]):
         return 1.0
-    if len(sa) > len(sb):
-        a, b, sa, sb = b, a, sb, sa
-    (ca, ka), (cb, kb) = _han_kind(sa), _han_kind(sb)
-    if ka or kb:
-        if ka and kb and ka != kb:
-            # The place may stand behind: take the kind out wherever it is.
-            return 0.0
-        if ca == cb:
-            return 1.0 if len(ca) > 2 else 0.8
-        for k in HAN_KINDS.split():
-            x, y = sa.replace(k, "", 1), sb.replace(k, "", 1)
-            if k in sa and k in sb and sorted(x) == sorted(y) and (x == y or len(a) > 1 or len(b) > 1):
-                return 1.0
-        return 0.8 if len(ca) >= 2 and cb.endswith(ca) else 0.0
-    if len(sa) >= 2 and len(sb) - len(sa) in (1, 2) and sb.endswith(sa) and len(a) == 1:
-        return 0.8
-    return 0.0
-
-
-def grams(p: list[str]) -> Counter:
-    """Character n-grams of a name, parts in any order: pairs for Han, threes with ends for words, and whole parts."""
+    best = 0.0
+    for x in turned_a:
+        for y in turned_b:
+            (ca, ea), (cb, eb) = _core(x, forms), _core(y, forms)
+            if not (ea <= eb or eb <= ea):
+                continue
+            if ca == cb:
+                best = max(best, 1.0 if len(ca) > 2 or ea == eb else 0.8)
+            elif (ea or eb or len(a) == len(b) == 1) and min(len(ca), len(cb)) >= 2 and 1 <= abs(len(ca) - len(cb)) <= 2 and (ca.endswith(cb) or cb.endswith(ca)):
+                best = max(best, 0.8)
+    return best
+
+
+def grams(p: list[str], forms: Forms = NOTHING) -> dict[str, float]:
+    """Character n-grams of a name, parts in any order: ones and pairs for Han, threes with ends and initials for words.
+
+    A short form counts as the names it stands for, each by its share; learnt endings of Han names don't count.
+    """
     out: Counter = Counter()
     if is_han(p):
-        for w in p:
+        for w in (_core(w, forms)[0] for w in p):
             out.update(w[i : i + 2] for i in range(len(w) - 1))
             out.update(w)
         return out
     for w in p:
-        w = _FULL.get(w, w)
-        x = f"^{w}$"
-        out.update(x[i : i + 3] for i in range(max(1, len(x) - 2)))
-        out.update(f"^{w[0]}")
-    return out
-
-
-def _near(w: str) -> set[str]:
-    """What a word may meet by: itself, the names it is short for, and itself less each letter.
-
-    Words equal up to one slip share one of these, whatever their lengths and wherever the slip is.
-    """
-    return _MANY.get(w, set()) | {w} | ({w[:k] + w[k + 1 :] for k in range(len(w))} if len(w) > 2 else set())
-
-
-def index_terms(p: list[str]) -> dict[str, bool]:
-    """Terms by which a pair is found: every two names that can agree share one, and few other names of a book do.
-
-    Han: the whole name in order of its parts and turned, its endings, and its characters without a kind. Words: the
-    whole name, each word with what another is near to, a long word with another's initial, and a name's only long
-    word. The value says whether the term stands for the whole name; of a pair one must, so that two full names do not
-    meet merely in what they can be shortened to.
-    """
-    out: dict[str, bool] = {}
-    if is_han(p):
-        for i in range(len(p)):
-            s = _turned(p, i)
-            core, _ = _han_kind(s)
-            out["h" + s] = out["h" + core] = True
-            for k in range(1, len(core) - 1):
-                out.setdefault("h" + core[k:], False)
-        if len(s) > 2:
-            s = "".join(p)
-            out["h" + s[2:] + s[:2]] = out["h" + s[1:] + s[:1]] = True
-            for k in HAN_KINDS.split():
-                if k in s:
-                    out[f"k{k}" + "".join(sorted(s.replace(k, "", 1)))] = True
-        return {t: m for t, m in out.items() if len(t) > 2}
-    for i in range(len(p)):
-        out["j" + _turned(p, i)] = True
-    out["s" + "".join(sorted(p))] = True
-    near = [_near(w) for w in p]
-    for i, w in enumerate(p):
-        if len(w) == 1:
-            continue
-        for j, v in enumerate(p):
-            if i == j:
-                continue
-            if len(v) > 1:
-                out |= {f"p{f}|{x}": True for f in _MANY.get(v, set()) | {v} for x in near[i]}
-            for x in near[i]:
-                t = f"i{v[0]}|{x}"
-                out[t] = out.get(t, False) or len(v) == 1
-        if sum(len(v) > 1 for v in p) == 1:
-            out |= {f"o{x}": len(p) == 1 for x in near[i]}
+        full = sorted(forms.full.get(w, ())) or [w]
+        for v in full:
+            x = f"^{v}$"
+            for g in [*(x[i : i + 3] for i in range(max(1, len(x) - 2))), f"^{v[0]}"]:
+                out[g] += 1 / len(full)
     return out
 
 
@@ -275,82 +228,196 @@ def disclosed_names(records: DataFrame, aliases: DataFrame) -> DataFrame:
     return both.mapInPandas(fold, "book string, rec string, name string, own boolean").where("name != ''").groupBy("book", "rec", "name").agg(F.max("own").alias("own"))
 
 
-def character_slips(names: DataFrame, least_share: float = 0.02) -> dict[str, str]:
-    """Han characters written for one another, learnt from names of one record that differ in one place.
+def evidence(own: str, other: str) -> tuple[str, str, str] | None:
+    """What two folded names of one record say about names: kind, and the two sides (the second empty for affixes).
 
-    At most as many pairs as there are pairs of characters in use; each must be seen in at least ``least_share`` as
-    many records as the commonest. Returns a representative for each character that has near ones.
+    form: all words but one are equal; title: one word more; char: Han names equal but for one character; before,
+    after: a Han name with something at an end.
     """
-    n = names.where(F.col("name").rlike("^[㐀-鿿]{3,6}$"))
-    own, other = n.where("own").select("book", "rec", F.col("name").alias("x")), n.where("not own").select("book", "rec", F.col("name").alias("y"))
-    pairs = own.join(other, ["book", "rec"]).where("length(x) = length(y) and x != y")
-    at = F.filter(F.transform(F.sequence(F.lit(1), F.length("x")), lambda i: F.struct(F.substring(F.col("x"), i, F.lit(1)).alias("a"), F.substring(F.col("y"), i, F.lit(1)).alias("b"))), lambda s: s.a != s.b)
-    one = pairs.select("rec", at.alias("d")).where("size(d) = 1").select("rec", F.least(F.col("d")[0]["a"], F.col("d")[0]["b"]).alias("a"), F.greatest(F.col("d")[0]["a"], F.col("d")[0]["b"]).alias("b"))
-    seen = one.groupBy("a", "b").agg(F.countDistinct("rec").alias("n")).collect()
-    least = least_share * max((r.n for r in seen), default=0)
-    seen = [r for r in seen if r.n >= least]
-    parent: dict[str, str] = {}
-
-    def root(c: str) -> str:
-        while parent.get(c, c) != c:
-            c = parent[c]
+    if _HAN.search(own) or _HAN.search(other):
+        x, y = sorted(("".join(_runs(own)), "".join(_runs(other))), key=lambda s: (len(s), s))
+        if len(x) == len(y):
+            differ = [(p, q) for p, q in zip(x, y) if p != q]
+            return ("char", *sorted(differ[0])) if len(differ) == 1 and len(x) > 2 else None
+        if len(x) < 2:
+            return None
+        return ("after", y[len(x) :], "") if y.startswith(x) else ("before", y[: -len(x)], "") if y.endswith(x) else None
+    a, b = (Counter(w for w in _words(s) if w not in JOINING) for s in (own, other))
+    here, there = list((a - b).elements()), list((b - a).elements())
+    shared = (a & b).total()
+    if len(here) + len(there) == 1 and shared >= 2 and len((here + there)[0]) > 1:
+        return "title", (here + there)[0], ""
+    if len(here) == len(there) == 1 and shared and min(len(here[0]), len(there[0])) > 1 and not _close(here[0], there[0]):
+        return ("form", *sorted((here[0], there[0])))
+    return None
+
+
+def learn_forms(names: DataFrame, least: dict[str, float] = LEAST) -> Forms:
+    """Short forms, titles, affixes and characters written for one another, from the names each record discloses.
+
+    Each record's own name is held against the others it has. A form needs two records and at least a share ``least``
+    of the evidence of its kind, so that the table has at most 1 / share rows, whatever the corpus. Of two forms the one
+    with more evidence in all is the full one. All records count.
+    """
+    pairs = names.where("own").select("book", "rec", F.col("name").alias("x")).join(names.where("not own").select("book", "rec", F.col("name").alias("y")), ["book", "rec"]).where("x != y")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(b, r, *e) for b, r, x, y in zip(f["book"], f["rec"], f["x"], f["y"]) if (e := evidence(x, y))]
+            yield pd.DataFrame(rows, columns=["book", "rec", "kind", "a", "b"])
+
+    seen = pairs.mapInPandas(run, "book string, rec string, kind string, a string, b string").distinct().groupBy("kind", "a", "b").agg(F.count("*").alias("n"))
+    share = F.lit(None).cast("double")
+    for k, v in least.items():
+        share = F.when(F.col("kind") == k, F.lit(v)).otherwise(share)
+    whole = seen.groupBy("kind").agg(F.sum("n").alias("all"))
+    kept = seen.join(whole, "kind").where((F.col("n") >= 2) & (F.col("n") >= share * F.col("all"))).select("kind", "a", "b", "n").collect()
+    by = {k: sorted((r for r in kept if r.kind == k), key=lambda r: (-r.n, r.a, r.b)) for k in least}
+    titles = frozenset(r.a for r in by["title"])
+    pairs_ = [r for r in by["form"] if not {r.a, r.b} & titles]
+    weight: Counter = Counter()
+    for r in pairs_:
+        weight[r.a] += r.n
+        weight[r.b] += r.n
+    full: dict = {}
+    for r in pairs_:
+        short, long_ = sorted((r.a, r.b), key=lambda w: (weight[w], len(w), w))
+        full[short] = full.get(short, frozenset()) | {long_}
+    root: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while root.get(c, c) != c:
+            c = root[c]
         return c
 
-    for r in sorted(seen, key=lambda r: (-r.n, r.a, r.b)):
-        x, y = root(r.a), root(r.b)
+    for r in by["char"]:
+        x, y = find(r.a), find(r.b)
         if x != y:
-            parent[max(x, y)] = min(x, y)
-    return {c: root(c) for c in set(parent) | set(parent.values())}
-
-
-def average_linkage(sim: np.ndarray, least: float) -> np.ndarray:
-    """Group number of each item: the two groups with the largest mean similarity are merged while it is at least ``least``."""
-    n = len(sim)
-    s = sim.astype(float).copy()
-    np.fill_diagonal(s, -1)
-    size, group, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    while alive.sum() > 1:
-        i, j = divmod(int(s.argmax()), n)
-        if s[i, j] < least:
-            break
-        i, j = min(i, j), max(i, j)
-        row = (s[i] * size[i] + s[j] * size[j]) / (size[i] + size[j])
-        s[i], s[:, i] = row, row
-        s[j], s[:, j], s[i, i] = -1, -1, -1
+            root[max(x, y)] = min(x, y)
+    chars = {c: find(c) for c in root}
+    return Forms(full, titles, tuple(r.a for r in by["before"]), tuple(sorted((r.a for r in by["after"]), key=lambda t: (-len(t), t))), chars)
+
+
+def similar_names(names: DataFrame, forms: Forms = NOTHING, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
+    """Every pair of names of a book with a cosine of at least ``cosine``, and all vectors.
+
+    ``names``: book, sid (a number), parts, and whatever is to be carried along in a struct ``said``. Returns the
+    pairs (book, s, t, cos, p, q; s < t) and the vectors (book, sid, ids, ws). A gram weighs as much as it is rare among
+    the names of the book. Grams of a name are ordered from rare to common; two names that reach the threshold share one
+    in the part of each before the rest is too short to matter, and the pair comes out at the first they share. There is
+    no limit to the partners of a name. Weights are kept in units of 1 / 32767.
+    """
+    if not 0 < cosine <= 1:
+        raise ValueError("cosine must be above 0")
+
+    def gram_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(b, s, g, c) for b, s, p in zip(f["book"], f["sid"], f["parts"]) for g, c in grams(list(p), forms).items()]
+            yield pd.DataFrame(rows, columns=["book", "sid", "g", "c"])
+
+    g = names.select("book", "sid", "parts").mapInPandas(gram_rows, "book string, sid long, g string, c double").select("book", "sid", F.hash("g").alias("g"), "c")
+    total = names.groupBy("book").agg(F.count("*").alias("total"))
+    weight = g.groupBy("book", "g").agg(F.count("*").alias("df")).join(total, "book").select("book", "g", "df", F.log1p(F.col("total") / F.col("df")).alias("w"))
+    rows = g.join(weight, ["book", "g"]).groupBy("book", "sid").agg(F.array_sort(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "g", (F.col("c") * F.col("w")).cast("float").alias("x")))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.x.cast("double") * e.x))
+    vectors = cut(rows.withColumn("n", norm).select("book", "sid", F.transform("v", lambda e: e.g).alias("ids"), F.transform("v", lambda e: F.round(e.x / F.col("n") * 32767).cast("smallint")).alias("ws")))
+
+    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for ids, ws in zip(f["ids"], f["ws"]):
+                x = np.asarray(ws, float) / 32767
+                rest = np.maximum(0.0, (x * x).sum() - np.concatenate([[0], np.cumsum(x * x)]))
+                k = int((np.sqrt(rest[:-1]) >= cosine - 1e-3).sum())
+                out.append([(int(ids[i]), float(x[i]), float(np.sqrt(rest[i + 1])), i) for i in range(k)])
+            yield f.assign(pre=out)
+
+    schema = vectors.schema.simpleString()[7:-1] + ",pre:array<struct<gram:int,x:float,rest:float,at:int>>"
+    post = vectors.mapInPandas(prefixes, schema).join(names.select("book", "sid", "said"), ["book", "sid"]).select("book", "sid", "ids", "ws", "said", F.explode("pre").alias("e"))
+    post = post.select("book", F.col("e.gram").alias("gram"), "sid", F.col("e.x").alias("x"), F.col("e.rest").alias("rest"), F.col("e.at").alias("at"), "ids", "ws", "said")
+    a, b = post.alias("a"), post.alias("b")
+    earlier = lambda n: F.slice(F.col(f"{n}.ids"), F.lit(1), F.col(f"{n}.at"))
+    bound = F.col("a.x") * F.col("b.x") + F.col("a.rest") * F.col("b.rest") >= cosine - 1e-3
+    met = a.join(b, (F.col("a.book") == F.col("b.book")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.sid") < F.col("b.sid")) & bound & ~F.arrays_overlap(earlier("a"), earlier("b")))
+    product = F.transform("a.ids", lambda w, i: F.get("a.ws", i).cast("int") * F.coalesce(F.get("b.ws", F.array_position("b.ids", w).cast("int") - 1).cast("int"), F.lit(0)))
+    dot = F.aggregate(product, F.lit(0), lambda s, v: s + v) / F.lit(32767.0 * 32767.0)
+    pairs = met.select(F.col("a.book").alias("book"), F.col("a.sid").alias("s"), F.col("b.sid").alias("t"), dot.alias("cos"), F.col("a.said").alias("p"), F.col("b.said").alias("q"))
+    return pairs.where(F.col("cos") >= cosine), vectors
+
+
+def average_linkage(size: list[float], sim: dict[tuple[int, int], float], least: float) -> list[int]:
+    """Group number (its least item) of each item: the two groups of the largest mean similarity are merged while it is at least ``least``.
+
+    ``size`` says how many equal items an item stands for; pairs that ``sim`` (i < j) lacks have similarity 0.
+    """
+    n = len(size)
+    size, near = list(size), [dict() for _ in range(n)]
+    for (i, j), s in sim.items():
+        near[i][j] = near[j][i] = s * size[i] * size[j]
+    group = list(range(n))
+    heap = [(-s, i, j, size[i], size[j]) for (i, j), s in sim.items() if s >= least]
+    heapq.heapify(heap)
+    while heap:
+        _, i, j, si, sj = heapq.heappop(heap)
+        # A group that has grown or gone since makes the entry stale.
+        if group[i] != i or group[j] != j or size[i] != si or size[j] != sj:
+            continue
+        group[j] = i
         size[i] += size[j]
-        alive[j] = False
-        s[:, ~alive] = -1
-        group[group == j] = i
-    return group
+        near[i].pop(j)
+        for k, s in near[j].items():
+            if k != i:
+                near[i][k] = near[i].get(k, 0.0) + s
+                near[k][i] = near[i][k]
+                del near[k][j]
+        near[j] = {}
+        for k, s in near[i].items():
+            mean = s / (size[i] * size[k])
+            if mean >= least:
+                a, b = min(i, k), max(i, k)
+                heapq.heappush(heap, (-mean, a, b, size[a], size[b]))
+    out = []
+    for i in range(n):
+        while group[i] != i:
+            i = group[i]
+        out.append(i)
+    return out
 
 
-def _entities(records: list[dict[int, bool]], links: list[tuple[int, int, float]], linkage: float) -> list[int]:
-    """Group number of each record; a record is its names (id to whether it is a by-name), links are between names."""
-    sim = np.zeros((len(records), len(records)))
+def _entities(items: list[tuple[dict[int, bool], int]], links: Iterable[tuple[int, int, float]], linkage: float) -> list[int]:
+    """Group number of each item; an item is its names (id to whether it is a by-name) and how many records have just these."""
     by: dict[int, list[int]] = {}
-    for i, names in enumerate(records):
+    for i, (names, _) in enumerate(items):
         for s in names:
             by.setdefault(s, []).append(i)
+    sim: dict[tuple[int, int], float] = {}
+
+    def say(i: int, j: int, s: float) -> None:
+        if i != j:
+            k = (min(i, j), max(i, j))
+            sim[k] = max(sim.get(k, 0.0), s)
+
     for who in by.values():
-        sim[np.ix_(who, who)] = 1.0
-    for s, t, ok in links:
-        a, b = by.get(s, []), by.get(t, [])
-        sim[np.ix_(a, b)] = np.maximum(sim[np.ix_(a, b)], ok)
-        sim[np.ix_(b, a)] = np.maximum(sim[np.ix_(b, a)], ok)
+        for x, i in enumerate(who):
+            for j in who[:x]:
+                say(i, j, 1.0)
+    for s, t, v in links:
+        for i in by.get(s, ()):
+            for j in by.get(t, ()):
+                say(i, j, v)
     # By-names that two records do not share speak against them.
-    known = [{s for s, byname in names.items() if byname} for names in records]
-    for i, a in enumerate(known):
-        for j, b in enumerate(known[:i] if a else ()):
-            if b and not a & b:
-                sim[i, j] = sim[j, i] = CONFLICT * sim[i, j]
-    return average_linkage(sim, linkage).tolist()
+    known = [{s for s, byname in names.items() if byname} for names, _ in items]
+    for i, j in sim:
+        if known[i] and known[j] and not known[i] & known[j]:
+            sim[i, j] *= CONFLICT
+    return average_linkage([n for _, n in items], sim, linkage)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected parts by spreading the least id: columns node, part. Stops when nothing changes."""
+def components(edges: DataFrame) -> DataFrame:
+    """Connected parts by spreading the least id: columns node, part. Goes on until nothing changes."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("part")))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("node").alias("b"), "part"), "b").groupBy(F.col("a").alias("node")).agg(F.min("part").alias("near"))
         # A node also takes the part of its part, which halves the way each round.
         new = label.join(near, "node").select("node", F.least("part", "near").alias("part"), F.col("part").alias("old"))
@@ -359,7 +426,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not new.where("part != old").limit(1).count():
             return new.select("node", "part")
         label = new.select("node", "part")
-    return label
 
 
 def unclear_forms(links: DataFrame, holds: DataFrame) -> DataFrame:
@@ -378,88 +444,65 @@ def unclear_forms(links: DataFrame, holds: DataFrame) -> DataFrame:
     return known.groupBy("short").agg(F.countDistinct(F.coalesce("part", "node")).alias("n")).where("n > 1").select("short")
 
 
-def linked_records(records: DataFrame, aliases: DataFrame, cosine: float = COSINE, linkage: float = LINKAGE) -> DataFrame:
+def by_names_of_anybody(holds: DataFrame, vectors: DataFrame, coherence: float) -> DataFrame:
+    """By-names whose holders' own names are unlike one another: column sid.
+
+    The mean cosine of all pairs of holders comes from the length of the sum of their vectors, so no pairs are formed.
+    """
+    shared = holds.groupBy("sid").agg(F.count("*").alias("n"), F.min("byname").alias("byname")).where("n > 1 and byname").select("sid", "n")
+    proper = holds.where("own").groupBy("node").agg(F.min("sid").alias("own_sid"))
+    who = holds.join(shared, "sid").select("sid", "n", "node").join(proper, "node").groupBy("sid", "n", "own_sid").agg(F.count("*").alias("c"))
+    x = who.join(vectors.select(F.col("sid").alias("own_sid"), F.explode(F.arrays_zip("ids", "ws")).alias("e")), "own_sid")
+    length = x.groupBy("sid", "n", F.col("e.ids").alias("g")).agg(F.sum(F.col("c") * F.col("e.ws") / 32767.0).alias("x")).groupBy("sid", "n").agg(F.sum(F.col("x") * F.col("x")).alias("d"))
+    return length.where((F.col("d") - F.col("n")) / (F.col("n") * (F.col("n") - 1)) < coherence).select("sid")
+
+
+def linked_records(records: DataFrame, aliases: DataFrame, forms: Forms | None = None, cosine: float = COSINE, linkage: float = LINKAGE, coherence: float = COHERENCE) -> DataFrame:
     """Groups of entity records of a book that mean the same person or organisation: book, rec, entity (its least record).
 
     Records without a partner are groups of their own. Names fold to one form first, so repeated and withdrawn
     disclosures and ways of encoding play no role. Null or blank names say nothing; records without a book or id are
-    left out; the same id in two books is two records.
+    left out; the same id in two books is two records. Without ``forms`` they are learnt from all the names given; with
+    the same ``forms`` a book comes out alike whatever other books are there.
     """
     names = cut(disclosed_names(records, aliases))
-    slips = character_slips(names)
-    table = str.maketrans(slips)
-    n_records = names.select("book", "rec").distinct().count()
-    address = names.groupBy("name").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where((F.col("n") >= max(ADDRESS_RECORDS, ADDRESS_SHARE * n_records)) & ~F.col("any_own"))
-    told = names.join(address.select("name"), "name", "left_anti")
-
+    forms = learn_forms(names) if forms is None else forms
     own_name = names.where("own").groupBy("book", "rec").agg(F.min("name").alias("proper"))
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A by-name is a disclosed name that shortens or varies no part of the record's own.
         for f in frames:
-            p = [[w.translate(table) for w in parts(x)] for x in f["name"]]
-            q = [[w.translate(table) for w in parts(x)] if isinstance(x, str) else [] for x in f.pop("proper")]
+            p = [parts(x, forms) for x in f["name"]]
+            q = [parts(x, forms) if isinstance(x, str) else [] for x in f.pop("proper")]
             f["parts"] = p
-            f["byname"] = [bool(a and b and not own and not agreement(a, b, [True] * len(a), [True] * len(b))) for a, b, own in zip(p, q, f["own"])]
-            f["terms"] = [[f"{m:d}{t}" for t, m in sorted(index_terms(x).items())] if x and not by else [] for x, by in zip(p, f["byname"])]
+            f["byname"] = [bool(a and b and not own and not agreement(a, b, [True] * len(a), [True] * len(b), forms=forms)) for a, b, own in zip(p, q, f["own"])]
             yield f
 
-    schema = "book string, rec string, name string, own boolean, parts array<string>, byname boolean, terms array<string>"
-    surfaces = cut(told.join(own_name, ["book", "rec"], "left").mapInPandas(split, schema).where("size(parts) > 0"))
+    schema = "book string, rec string, name string, own boolean, parts array<string>, byname boolean"
+    surfaces = cut(names.join(own_name, ["book", "rec"], "left").mapInPandas(split, schema).where("size(parts) > 0").withColumn("sid", F.xxhash64("book", F.concat_ws("\u001f", "parts"))))
     counts = surfaces.select("book", "rec", F.explode(F.array_distinct("parts")).alias("w")).distinct().groupBy("book", "w").count()
-    held = surfaces.select("book", "parts", F.posexplode("parts").alias("i", "w")).distinct().join(counts, ["book", "w"]).groupBy("book", "parts").agg(F.transform(F.array_sort(F.collect_set(F.struct("i", F.col("count").alias("n")))), lambda s: s.n).alias("held"))
-    kinds = surfaces.groupBy("book", "parts").agg(F.max("terms").alias("terms"))
-    kinds = cut(kinds.join(held, ["book", "parts"]).withColumn("sid", F.xxhash64("book", F.concat_ws("\u001f", "parts"))))
+    kinds = surfaces.groupBy("book", "sid").agg(F.first("parts").alias("parts"), F.min("byname").alias("byname"))
+    held = kinds.select("book", "sid", F.posexplode("parts").alias("i", "w")).join(counts, ["book", "w"]).groupBy("book", "sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("count").cast("int").alias("n")))), lambda s: s.n).alias("held"))
+    kinds = cut(kinds.join(held, ["book", "sid"]).select("book", "sid", "parts", "byname", F.struct("parts", "held").alias("said")))
 
-    # Weights of n-grams: how rare each is among the names of the book.
-    def gram_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(b, s, g, c) for b, s, p in zip(f["book"], f["sid"], f["parts"]) for g, c in grams(list(p)).items()]
-            yield pd.DataFrame(rows, columns=["book", "sid", "g", "c"])
-
-    g = kinds.select("book", "sid", "parts").mapInPandas(gram_rows, "book string, sid long, g string, c int")
-    total = kinds.groupBy("book").count().withColumnRenamed("count", "total")
-    weight = g.groupBy("book", "g").count().join(total, "book").select("book", "g", (F.log1p(F.col("total") / F.col("count"))).alias("w"))
-    vectors = g.join(weight, ["book", "g"]).groupBy("sid").agg(F.collect_list("g").alias("g"), F.collect_list((F.col("c") * F.col("w")).cast("float")).alias("x"))
-
-    # Pairs that share an index term: first the exact check on the parts of both names, then the cosine of what is left.
-    # Near names share many terms, so the pairs are made distinct while they are but two numbers.
-    term = kinds.select("book", "sid", F.explode("terms").alias("t")).select(F.xxhash64("book", F.substring("t", 2, 1000)).alias("term"), F.col("t").startswith("1").alias("main"), "sid")
-    several = term.groupBy("term").agg(F.count("*").alias("n"), F.max("main").alias("m")).where("n > 1 and m").select("term")
-    term = term.join(several, "term", "left_semi")
-    x = term.where("main").select("term", F.col("sid").alias("s"))
-    y = term.select("term", "main", F.col("sid").alias("t"))
-    pair = x.join(y, "term").where("s < t or (s != t and not main)").select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).distinct()
-    said = kinds.select("book", "sid", "parts", "held")
-    pair = pair.join(said.withColumnsRenamed({"sid": "s", "parts": "p", "held": "hp"}), "s").join(said.withColumnsRenamed({"sid": "t", "parts": "q", "held": "hq"}), ["book", "t"]).select("s", "t", "p", "q", "hp", "hq")
+    # Names of persons and organisations; by-names link by being shared only.
+    pairs, vectors = similar_names(kinds.where("not byname"), forms, cosine)
 
     def agree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for s, t, p, q, hp, hq in zip(*(f[c].tolist() for c in ("s", "t", "p", "q", "hp", "hq"))):
+            for s, t, cos, p, hp, q, hq in zip(*(f[c].tolist() for c in ("s", "t", "cos", "p", "hp", "q", "hq"))):
                 p, q, hp, hq = list(p), list(q), hp.tolist(), hq.tolist()
-                if ok := agreement(p, q, [n <= FEW for n in hp], [n <= FEW for n in hq], hp, hq):
-                    rows.append((s, t, ok, 0 if ok == 1 else t if sum(map(len, p)) >= sum(map(len, q)) else s))
-            yield pd.DataFrame(rows, columns=["s", "t", "ok", "short"])
+                if ok := agreement(p, q, [n <= FEW for n in hp], [n <= FEW for n in hq], hp, hq, forms):
+                    rows.append((s, t, cos, ok, 0 if ok == 1 else t if sum(map(len, p)) >= sum(map(len, q)) else s))
+            yield pd.DataFrame(rows, columns=["s", "t", "cos", "ok", "short"])
 
-    agreed = pair.mapInPandas(agree, "s long, t long, ok double, short long")
-    v = vectors.select("sid", "g", "x")
-    agreed = agreed.join(v.withColumnsRenamed({"sid": "s", "g": "gp", "x": "xp"}), "s").join(v.withColumnsRenamed({"sid": "t", "g": "gq", "x": "xq"}), "t")
-
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            keep = []
-            for gp, gq, xp, xq in zip(f["gp"], f["gq"], f["xp"], f["xq"]):
-                b = dict(zip(gq, xq.tolist()))
-                dot = sum(x * b.get(k, 0.0) for k, x in zip(gp, xp.tolist()))
-                keep.append(dot / math.sqrt(float(xp @ xp) * float(xq @ xq)))
-            f["cos"] = keep
-            yield f.loc[f["cos"] >= cosine, ["s", "t", "cos", "ok", "short"]]
-
-    links = cut(agreed.mapInPandas(check, "s long, t long, cos double, ok double, short long"))
+    flat = pairs.select("s", "t", "cos", F.col("p.parts").alias("p"), F.col("p.held").alias("hp"), F.col("q.parts").alias("q"), F.col("q.held").alias("hq"))
+    links = cut(flat.mapInPandas(agree, "s long, t long, cos double, ok double, short long"))
     node = F.concat_ws("\u001f", "book", "rec")
-    holds = cut(surfaces.join(kinds.select("book", "parts", "sid"), ["book", "parts"]).groupBy(node.alias("node"), "sid").agg(F.min("byname").alias("byname")))
-    links = links.join(unclear_forms(links, holds), "short", "left_anti").select("s", "t", "cos", "ok")
+    holds = cut(surfaces.groupBy(node.alias("node"), "sid").agg(F.min("byname").alias("byname"), F.max("own").alias("own")))
+    holds = cut(holds.join(by_names_of_anybody(holds, vectors, coherence), "sid", "left_anti"))
+    links = cut(links.join(unclear_forms(links, holds), "short", "left_anti").select("s", "t", F.sqrt(F.col("ok") * F.col("cos")).alias("sim")))
 
     # Records as nodes: stars around each name that several hold, and links between holders of two names.
     first = holds.groupBy("sid").agg(F.min("node").alias("hub"))
@@ -467,29 +510,36 @@ def linked_records(records: DataFrame, aliases: DataFrame, cosine: float = COSIN
     across = links.join(first.select(F.col("sid").alias("s"), F.col("hub").alias("a")), "s").join(first.select(F.col("sid").alias("t"), F.col("hub").alias("b")), "t").where("a != b").select("a", "b")
     parts_of = components(stars.unionByName(across).distinct())
 
-    # Average linkage within each component, over the agreement of all pairs of records in it. Components are spread
-    # over buckets of a few thousand records, each of which is one call.
-    held = holds.join(parts_of, "node").select("part", "node", "sid", "byname")
-    between = links.join(held.select("part", F.col("sid").alias("s")).distinct(), "s").select("part", "s", "t", "ok")
-    rows = held.select("part", "node", F.col("sid").alias("s"), F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("ok"), "byname").unionByName(between.select("part", F.lit(None).cast("string").alias("node"), "s", "t", "ok", F.lit(False).alias("byname")))
-    buckets = max(1, n_records // BUCKET)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
+    # Average linkage within each component. Records with the same names are one item, however many they are; components
+    # are spread over buckets of a few thousand items, each of which is one call.
+    told = holds.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("sid", "byname"))).alias("names")).join(parts_of, "node").withColumn("sig", F.xxhash64("part", "names"))
+    told = cut(told)
+    items = told.groupBy("part", "sig").agg(F.first("names").alias("names"), F.count("*").cast("int").alias("n"))
+    held = items.select("part", F.explode("names.sid").alias("s")).distinct()
+    between = links.join(held, "s").select("part", "s", "t", "sim")
+    rows = items.select("part", "sig", "names", "n", F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("sim")).unionByName(between.select("part", F.lit(None).cast("long").alias("sig"), F.lit(None).cast("array<struct<sid:bigint,byname:boolean>>").alias("names"), F.lit(0).alias("n"), "s", "t", "sim"))
+    buckets = max(1, items.count() // BUCKET)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets))).select("bucket", "part", "sig", F.col("names.sid").alias("ids"), F.col("names.byname").alias("by"), "n", "s", "t", "sim")
 
     def group(f: pd.DataFrame) -> pd.DataFrame:
-        parts: dict[str, tuple[dict, list]] = {}
-        for part, node, s, t, ok, by in zip(*(f[c].tolist() for c in ("part", "node", "s", "t", "ok", "byname"))):
-            nodes, known = parts.setdefault(part, ({}, []))
-            if node is None:
-                known.append((s, t, ok))
+        of: dict[str, tuple[dict, list]] = {}
+        for part, sig, ids, by, n, s, t, v in zip(*(f[c].tolist() for c in ("part", "sig", "ids", "by", "n", "s", "t", "sim"))):
+            items, links = of.setdefault(part, ({}, []))
+            if ids is None:
+                links.append((s, t, v))
             else:
-                nodes.setdefault(node, {})[s] = by
+                items[int(sig)] = dict(zip(ids, by)), n
         out = []
-        for nodes, known in parts.values():
-            ids = sorted(nodes)
-            out += zip(ids, (ids[k] for k in _entities([nodes[i] for i in ids], known, linkage)))
-        return pd.DataFrame(out, columns=["node", "entity"])
-
-    grouped = rows.groupBy("bucket").applyInPandas(group, "node string, entity string")
+        for items, links in of.values():
+            sigs = sorted(items)
+            out += zip(sigs, _entities([items[k] for k in sigs], links, linkage))
+        return pd.DataFrame(out, columns=["sig", "grp"])
+
+    # Signatures are turned to text for the way through pandas, which has no whole numbers with gaps.
+    grouped = rows.withColumn("sig", F.col("sig").cast("string")).groupBy("bucket").applyInPandas(group, "sig long, grp long")
+    placed = told.select("node", "part", "sig").join(grouped, "sig")
+    entity = cut(placed).groupBy("part", "grp").agg(F.min("node").alias("entity"))
+    grouped = placed.join(entity, ["part", "grp"]).select("node", "entity")
     everyone = names.select("book", "rec").distinct().withColumn("node", node)
     out = everyone.join(grouped, "node", "left").withColumn("entity", F.coalesce(F.element_at(F.split("entity", "\u001f"), 2), F.col("rec")))
     return out.select("book", "rec", "entity")

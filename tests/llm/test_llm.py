@@ -3,6 +3,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sagaspark.llm import leakage, names, packing, queries, ranking, skeleton, spam, splitting
 from sagaspark.llm import tokens as tk
@@ -177,36 +178,29 @@ def test_spam(spark):
 
 def test_names_agree():
     def ok(a, b, rare=True):
-        p, q = names.parts(a), names.parts(b)
-        return names.agreement(p, q, [rare] * len(p), [rare] * len(q))
+        f = names.Forms(full={"kate": frozenset(["katherine"]), "acad": frozenset(["academy"])}, titles=frozenset(["captain"]), after=("将军", "楼", "门", "帮"))
+        p, q = names.parts(a, f), names.parts(b, f)
+        return names.agreement(p, q, [rare] * len(p), [rare] * len(q), forms=f)
 
-    for a, b in [("Captain Mary Stone", "mary stone"), ("Stone, Mary", "Mary Stone"), ("Kate Stonefield", "Katherine Stonefield"), ("Maryy Stonefield", "Mary Stonefield"), ("Mo Wu Luo", "Wuluo Mo"), ("Ning-Zhao Cen", "Cen, Ningzhao"), ("Acad. of the Copper Mirror", "The Academy of the Copper Mirror"), ("云霜·呼木", "呼木云霜"), ("呼木云霜将军", "呼木云霜")]:
+    for a, b in [("Captain Mary Stone", "mary stone"), ("Stone, Mary", "Mary Stone"), ("Kate Stonefield", "Katherine Stonefield"), ("Maryy Stonefield", "Mary Stonefield"), ("Mo Wu Luo", "Wuluo Mo"), ("Ning-Zhao Cen", "Cen, Ningzhao"), ("Acad. of the Copper Mirror", "The Academy of the Copper Mirror"), ("云霜·呼木", "呼木云霜"), ("呼木云霜将军", "呼木云霜"), ("苍炉门（轩台）", "轩台苍炉门")]:
         assert ok(a, b) == 1.0, (a, b)
-    for a, b in [("M. Stonefield", "Mary Stonefield"), ("云霜", "呼木云霜"), ("白松", "长镇白松楼")]:
+    for a, b in [("M. Stonefield", "Mary Stonefield"), ("云霜", "呼木云霜"), ("白松", "长镇白松楼"), ("Quiet Orchard Company", "Company of the Quiet Orchard of Belas")]:
         assert ok(a, b) == 0.8, (a, b)
-    for a, b in [("Mary Stonefield", "Robert Stonefield"), ("Mary Stonefield", "Mary Harbour"), ("Mo Wuluo", "Mo Wutuo"), ("呼木云霜", "呼木明寒"), ("Mary A. Stone", "Mary B. Stone")]:
+    for a, b in [("Mary Stonefield", "Robert Stonefield"), ("Mary Stonefield", "Mary Harbour"), ("Mo Wuluo", "Mo Wutuo"), ("呼木云霜", "呼木明寒"), ("轩台苍炉门", "轩台苍炉帮"), ("Mary A. Stone", "Mary B. Stone")]:
         assert ok(a, b) == 0.0, (a, b)
     assert ok("Mary Stonefeld", "Mary Stonefield", rare=False) == 0.0
 
 
-def test_average_linkage():
-    s = np.array([[1, 0.9, 0.1], [0.9, 1, 0.8], [0.1, 0.8, 1]])
-    assert names.average_linkage(s, 0.5).tolist() == [0, 0, 2] and names.average_linkage(s, 0.4).tolist() == [0, 0, 0]
-    assert names.average_linkage(np.zeros((1, 1)), 0.5).tolist() == [0]
-
-
 def test_components(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("d", "e"), ("e", "f")], "a string, b string")
     assert {tuple(r) for r in names.components(e).collect()} == {(x, "a") for x in "abcdef"} | {("x", "x"), ("y", "x")}
 
 
 def test_linked_records(spark):
-    rec = [("1", "Katherine Stonefield", "B"), ("2", "Kate Stonefield", "B"), ("3", "Robert Stonefield", "B"), ("4", "Kathrine Stonefield", "B"), ("5", "Katherine Stonefield", "C"), ("6", None, "B"), ("7", "", "B"), (None, "x", "B"), ("8", "Somebody Else", None), ("9", "Ellen Moor", "B"), ("10", "Nell of the Moor", "B")]
-    ali = [("3", "the Grey Piper"), ("9", "the Blue Tinker"), ("10", "the Blue Tinker"), ("1", None), ("zz", "Kate Stonefield")]
-    r = spark.createDataFrame(rec, "canonical_id string, canonical_name string, book_id string")
-    a = spark.createDataFrame(ali, "canonical_id string, surface_name string")
-    g = names.linked_records(r, a)
-    assert {tuple(x) for x in names.linked_pairs(g).collect()} == {("1", "2"), ("1", "4"), ("2", "4"), ("10", "9")}
+    rec = [("1", "Katherine Stonefield", "B"), ("2", "Katherine Stonefeld", "B"), ("3", "Robert Stonefield", "B"), ("5", "Katherine Stonefield", "C"), ("6", None, "B"), ("7", "", "B"), (None, "x", "B"), ("8", "Somebody Else", None), ("1", "Katherine Stonefield", "B")]
+    r = spark.createDataFrame(rec, "canonical_id string, canonical_name string, book_id string").withColumn("part", F.lit(1))
+    a = spark.createDataFrame([("3", "the Grey Piper"), ("1", None), ("zz", "Kate Stonefield"), (None, "x")], "canonical_id string, surface_name string")
+    assert {tuple(x) for x in names.linked_pairs(names.linked_records(r, a)).collect()} == {("1", "2")}
     assert names.linked_pairs(names.linked_records(r.limit(0), a.limit(0))).count() == 0
 
 
