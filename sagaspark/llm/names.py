@@ -295,7 +295,9 @@ def learn_forms(names: DataFrame, least: dict[str, float] = LEAST) -> Forms:
         if x != y:
             root[max(x, y)] = min(x, y)
     chars = {c: find(c) for c in root}
-    return Forms(full, titles, tuple(r.a for r in by["before"]), tuple(sorted((r.a for r in by["after"]), key=lambda t: (-len(t), t))), chars)
+    # Affixes are looked for after characters have been replaced.
+    one = str.maketrans(chars)
+    return Forms(full, titles, tuple(r.a.translate(one) for r in by["before"]), tuple(sorted({r.a.translate(one) for r in by["after"]}, key=lambda t: (-len(t), t))), chars)
 
 
 def similar_names(names: DataFrame, forms: Forms = NOTHING, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
