@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -331,20 +332,50 @@ def similar_names(names: DataFrame, forms: Forms = NOTHING, cosine: float = COSI
                 x = np.asarray(ws, float) / 32767
                 rest = np.maximum(0.0, (x * x).sum() - np.concatenate([[0], np.cumsum(x * x)]))
                 k = int((np.sqrt(rest[:-1]) >= cosine - 1e-3).sum())
-                out.append([(int(ids[i]), float(x[i]), float(np.sqrt(rest[i + 1])), i) for i in range(k)])
+                marks, row = 0, []
+                for i in range(k):
+                    row.append((int(ids[i]), float(x[i]), float(np.sqrt(rest[i + 1])), i, marks))
+                    marks |= 1 << int(ids[i]) % 63
+                out.append(row)
             yield f.assign(pre=out)
 
-    schema = vectors.schema.simpleString()[7:-1] + ",pre:array<struct<gram:int,x:float,rest:float,at:int>>"
+    schema = vectors.schema.simpleString()[7:-1] + ",pre:array<struct<gram:int,x:float,rest:float,at:int,marks:bigint>>"
     post = vectors.mapInPandas(prefixes, schema).join(names.select("book", "sid", "said"), ["book", "sid"]).select("book", "sid", "ids", "ws", "said", F.explode("pre").alias("e"))
-    post = post.select("book", F.col("e.gram").alias("gram"), "sid", F.col("e.x").alias("x"), F.col("e.rest").alias("rest"), F.col("e.at").alias("at"), "ids", "ws", "said")
+    post = post.select("book", F.col("e.gram").alias("gram"), "sid", F.col("e.x").alias("x"), F.col("e.rest").alias("rest"), F.col("e.at").alias("at"), F.col("e.marks").alias("marks"), "ids", "ws", "said")
     a, b = post.alias("a"), post.alias("b")
     earlier = lambda n: F.slice(F.col(f"{n}.ids"), F.lit(1), F.col(f"{n}.at"))
     bound = F.col("a.x") * F.col("b.x") + F.col("a.rest") * F.col("b.rest") >= cosine - 1e-3
-    met = a.join(b, (F.col("a.book") == F.col("b.book")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.sid") < F.col("b.sid")) & bound & ~F.arrays_overlap(earlier("a"), earlier("b")))
-    product = F.transform("a.ids", lambda w, i: F.get("a.ws", i).cast("int") * F.coalesce(F.get("b.ws", F.array_position("b.ids", w).cast("int") - 1).cast("int"), F.lit(0)))
-    dot = F.aggregate(product, F.lit(0), lambda s, v: s + v) / F.lit(32767.0 * 32767.0)
-    pairs = met.select(F.col("a.book").alias("book"), F.col("a.sid").alias("s"), F.col("b.sid").alias("t"), dot.alias("cos"), F.col("a.said").alias("p"), F.col("b.said").alias("q"))
-    return pairs.where(F.col("cos") >= cosine), vectors
+    # Marks of the grams before this one say at once that most pairs share none of them.
+    first = (F.col("a.marks").bitwiseAND(F.col("b.marks")) == 0) | ~F.arrays_overlap(earlier("a"), earlier("b"))
+    met = a.join(b, (F.col("a.book") == F.col("b.book")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.sid") < F.col("b.sid")) & bound & first)
+    both = met.select(F.col("a.book").alias("book"), F.col("a.sid").alias("s"), F.col("b.sid").alias("t"), F.col("a.said").alias("p"), F.col("b.said").alias("q"), F.col("a.ids").alias("ia"), F.col("a.ws").alias("wa"), F.col("b.ids").alias("ib"), F.col("b.ws").alias("wb"))
+
+    def near(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            cos = _dots(*(f.column(c) for c in ("ia", "wa", "ib", "wb")))
+            keep = np.flatnonzero(cos >= cosine)
+            some = f.select(["book", "s", "t", "p", "q"]).take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(cos[keep]), *some.columns[3:]], ["book", "s", "t", "cos", "p", "q"])
+
+    said = dict(names.dtypes)["said"]
+    return both.mapInArrow(near, f"book string, s long, t long, cos double, p {said}, q {said}"), vectors
+
+
+def _dots(ia: pa.Array, wa: pa.Array, ib: pa.Array, wb: pa.Array) -> np.ndarray:
+    """Inner product of each row's two sparse vectors, all rows together."""
+    if not len(ia):
+        return np.zeros(0)
+
+    def keyed(ids: pa.Array, ws: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(ids), dtype=np.int64), np.diff(ids.offsets.to_numpy()))
+        return row << 32 | (ids.flatten().to_numpy().astype(np.int64) & 0xFFFFFFFF), ws.flatten().to_numpy().astype(np.float64) / 32767
+
+    (ka, xa), (kb, xb) = keyed(ia, wa), keyed(ib, wb)
+    order = np.argsort(kb)
+    kb, xb = kb[order], xb[order]
+    at = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
+    same = kb[at] == ka
+    return np.bincount(ka[same] >> 32, weights=xa[same] * xb[at[same]], minlength=len(ia))
 
 
 def average_linkage(size: list[float], sim: dict[tuple[int, int], float], least: float) -> list[int]:
