@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from sagaspark.session import cut
 
 
-def compose_patches(ops: DataFrame, keys: list[str], position: str, kind: str, fields: list[str], range_width: int = 1024) -> DataFrame:
+def compose_patches(ops: DataFrame, keys: list[str], position: str, kind: str, fields: list[str], range_width: int = 1024, chunk: Column | None = None) -> DataFrame:
     """Reduce a feed to one patch per key.
 
-    ``position`` is the integer order of an operation within its key and ``kind`` one of insert, update, delete.
+    ``position`` is the order of an operation within its key, an integer, or any orderable type if ``chunk`` says which
+    range of positions a row belongs to; ``kind`` is one of insert, update, delete.
     An insert sets all ``fields`` (nulls included), an update the non-null ones, a delete forgets all. Operations
     at the same position: delete wins over insert, insert over update; of several updates the larger value stands.
     The first reduction runs over position ranges of ``range_width`` (a hot key becomes many groups), the second
@@ -32,16 +33,16 @@ def compose_patches(ops: DataFrame, keys: list[str], position: str, kind: str, f
     live = ops.where(F.col(position).isNotNull() & F.col(kind).isin("insert", "update", "delete"))
     for k in keys:
         live = live.where(F.col(k).isNotNull())
-    pos = F.col(position).cast("long")
+    pos = F.col(position).cast("long") if chunk is None else F.col(position)
     rank = F.when(F.col(kind) == "delete", 2).when(F.col(kind) == "insert", 1)
     parts = [F.max(F.when(rank.isNotNull(), F.struct(pos.alias("p"), rank.alias("k")))).alias("__reset")]
     for f in fields:
         parts.append(F.max(F.when((F.col(kind) == "update") & F.col(f).isNotNull(), F.struct(pos.alias("p"), F.col(f).alias("v")))).alias(f"__u_{f}"))
         parts.append(F.max(F.when(F.col(kind) == "insert", F.struct(pos.alias("p"), F.col(f).alias("v")))).alias(f"__i_{f}"))
     names = ["__reset", *(f"__{x}_{f}" for f in fields for x in "ui")]
-    chunk = F.floor(pos / F.lit(range_width)).alias("__chunk")
+    chunk = F.floor(pos / F.lit(range_width)) if chunk is None else chunk
     parts.append(F.max(pos).alias("__last"))
-    chunks = live.groupBy(*keys, chunk).agg(*parts)
+    chunks = live.groupBy(*keys, chunk.alias("__chunk")).agg(*parts)
     return chunks.groupBy(*keys).agg(*(F.max(n).alias(n) for n in [*names, "__last"]))
 
 
@@ -64,16 +65,13 @@ def apply_patches(base: DataFrame | None, patches: DataFrame, keys: list[str], f
     return joined.where(alive).select(*keys, *out)
 
 
-def _places(rows: DataFrame) -> DataFrame:
-    """One row per (fact, ver) with its place: its own ordinal, or that of the version it supersedes, through as many as needed.
+def _places(v: DataFrame) -> DataFrame:
+    """Adds each version's place: its own ordinal, or that of the version it supersedes, through as many as needed.
 
-    A version whose chain ends in nothing takes no place and sorts before all others. Deliveries of a version that
-    disagree count with the smallest of what they say.
+    A version whose chain ends in nothing takes no place and sorts before all others.
     """
-    known = rows.where("ord is not null")
-    open_ = rows.where("ord is null").groupBy("fact", "ver").agg(F.min("op").alias("op"), F.min("sup").alias("sup"))
-    step = open_.select("fact", F.col("ver").alias("ptr"), F.col("sup").alias("nxt"))
-    walk = open_.withColumn("ptr", F.col("sup"))
+    known, walk = v.where("ord is not null"), v.where("ord is null").withColumn("ptr", F.col("sup"))
+    step = walk.select("fact", F.col("ver").alias("ptr"), F.col("sup").alias("nxt"))
     nested = walk.join(step, ["fact", "ptr"], "left_semi").count()
     for _ in range(math.ceil(math.log2(nested + 1)) if nested else 0):
         walk = cut(walk.join(step, ["fact", "ptr"], "left").select("fact", "ver", "op", "sup", F.coalesce("nxt", "ptr").alias("ptr")))
@@ -81,21 +79,24 @@ def _places(rows: DataFrame) -> DataFrame:
     at = known.select("fact", F.col("ver").alias("ptr"), F.col("ord").alias("place"))
     found = walk.join(at, ["fact", "ptr"], "left").select("fact", "ver", "op", "sup", "place")
     placed = known.select("fact", "ver", "op", "sup", F.col("ord").alias("place")).unionByName(found)
-    once = placed.groupBy("fact", "ver").agg(F.min("place").alias("place"), F.min("op").alias("op"), F.min("sup").alias("sup"))
-    return once.withColumn("place", F.coalesce(F.col("place").cast("long"), F.lit(-(1 << 40))))
-
-
-def _later_of_ties(v: DataFrame, tied: DataFrame) -> DataFrame:
-    """Of versions at the same place, drop those that another one supersedes through versions at other places."""
-    nodes = v.join(tied.select("fact").distinct(), "fact", "left_semi").join(tied.select("fact", "ver", F.lit(True).alias("cand")), ["fact", "ver"], "left")
-    most = nodes.groupBy("fact").count().agg(F.max("count")).head()[0] or 0
-    node = nodes.select("fact", F.col("ver").alias("ptr"), F.when(F.col("cand"), F.col("ver")).otherwise(F.col("sup")).alias("nxt"))
-    for _ in range(math.ceil(math.log2(most + 1)) if most > 1 else 0):
-        far = node.select("fact", F.col("ptr").alias("nxt"), F.col("nxt").alias("far"))
-        node = cut(node.join(far, ["fact", "nxt"], "left").select("fact", "ptr", F.coalesce("far", "nxt").alias("nxt")))
-    reach = tied.select("fact", F.col("ver").alias("by"), F.col("sup").alias("ptr")).join(node, ["fact", "ptr"])
-    beaten = reach.where(F.col("nxt") != F.col("by")).select("fact", F.col("nxt").alias("ver")).distinct()
-    return tied.join(beaten, ["fact", "ver"], "left_anti")
+    return placed.withColumn("place", F.coalesce(F.col("place").cast("long"), F.lit(-(1 << 40))))
+
+
+def _superseded_through_others(v: DataFrame) -> DataFrame:
+    """Of versions at the same place, those that another one of it supersedes through versions at other places: fact, ver."""
+    most = v.groupBy("fact").count().agg(F.max("count")).head()[0] or 0
+    # Pointers stop at the first version of the place that they come from.
+    node = v.where("sup is not null").select("fact", "place", "ver", F.col("sup").alias("ptr"))
+    at = v.select("fact", F.col("ver").alias("ptr"), F.col("place").alias("there"), F.col("sup").alias("on"))
+    out = None
+    for _ in range(most):
+        met = cut(node.join(at, ["fact", "ptr"]).where("ptr != ver"))
+        hit = met.where("there = place").select("fact", F.col("ptr").alias("ver"))
+        out = hit if out is None else out.unionByName(hit)
+        node = met.where("there != place and on is not null").select("fact", "place", "ver", F.col("on").alias("ptr"))
+        if not node.limit(1).count():
+            break
+    return out.distinct() if out is not None else v.select("fact", "ver").limit(0)
 
 
 def current_versions(claims: DataFrame, fact: str = "fact_id", version: str = "claim_version_id", operation: str = "operation", supersedes: str = "supersedes_version_id", ordinal: str = "observed_ordinal", range_width: int = 64) -> DataFrame:
@@ -103,25 +104,25 @@ def current_versions(claims: DataFrame, fact: str = "fact_id", version: str = "c
 
     Versions follow ``ordinal``; one without takes the place of the version it supersedes; at a place, a version
     comes after those it supersedes, directly or through others. A fact whose last version is a retract has no row.
-    Repeated deliveries count once. Rows with a null fact or version are left out. Versions that share a place
-    and have no supersession between them: an assert comes first, then the smaller version id. Versions that
-    supersede one another in a ring have no last one and give no row.
+    Repeated deliveries count once, with the smallest of what they say. Rows with a null fact or version are left out.
+    Versions that share a place and have no supersession between them: an assert comes first, then the smaller version
+    id. Where versions that supersede one another in a ring hold the last place, none is last and there is no row.
+
+    The feed is read once. Each version becomes an operation on its fact at the position (place, not superseded there,
+    not an assert, id): a retract deletes, all others insert. The operations are composed to patches over ranges of
+    places, these to one patch per fact, and applied to an empty table.
     """
     rows = claims.select(F.col(fact).alias("fact"), F.col(version).alias("ver"), F.col(operation).alias("op"), F.col(supersedes).alias("sup"), F.col(ordinal).alias("ord")).where("fact is not null and ver is not null")
-    v = _places(rows)
-    # A version that another one supersedes from the same or a later place is never the last.
-    over = v.where(F.col("sup").isNotNull() & (F.col("sup") != F.col("ver"))).groupBy("fact", F.col("sup").alias("ver")).agg(F.max("place").alias("over"))
-    heads = cut(v.join(over, ["fact", "ver"], "left").where(F.col("over").isNull() | (F.col("over") < F.col("place"))))
-    # Patches reduced over ranges of places, then over the ranges of a fact; the count says whether several share the last place.
-    late = F.struct("place", (F.col("op") != "assert").cast("int").alias("later"), "ver", "op")
-    chunk = F.floor(F.col("place") / F.lit(range_width)).alias("chunk")
-    chunks = heads.groupBy("fact", chunk, "place").agg(F.max(late).alias("patch"), F.count("*").alias("n")).groupBy("fact", "chunk").agg(F.max(F.struct("place", "patch", "n")).alias("c"))
-    last = chunks.groupBy("fact").agg(F.max("c").alias("c")).select("fact", F.col("c.place").alias("place"), F.col("c.n").alias("n"), F.col("c.patch.ver").alias("ver"), F.col("c.patch.op").alias("op"))
-    ties = last.where("n > 1").select("fact", "place")
-    tied = heads.join(ties, ["fact", "place"], "left_semi").select("fact", "ver", "op", "sup", "place", "over")
-    alone = last.where("n = 1").select("fact", "ver", "op")
-    # Only one that is superseded from an earlier place can still come before another at its place.
-    if heads.where("over is not null").limit(1).count():
-        tied = _later_of_ties(v, tied)
-    chosen = tied.groupBy("fact").agg(F.max(late).alias("c")).select("fact", F.col("c.ver").alias("ver"), F.col("c.op").alias("op"))
-    return alone.unionByName(chosen).where("op is null or op != 'retract'").select(F.col("fact").alias(fact), F.col("ver").alias(version))
+    v = cut(_places(cut(rows.groupBy("fact", "ver").agg(F.min("op").alias("op"), F.min("sup").alias("sup"), F.min("ord").alias("ord")))))
+    over = v.where("sup is not null and sup != ver").select("fact", F.col("sup").alias("ver"), F.col("place").alias("over"))
+    met = v.select("fact", "ver", "place").join(over, ["fact", "ver"])
+    beaten = met.where("over = place").select("fact", "ver")
+    # Only in a fact where one is superseded from an earlier place does a chain come back to a place it has left.
+    odd = cut(met.where("over < place").select("fact").distinct())
+    if odd.limit(1).count():
+        beaten = beaten.unionByName(_superseded_through_others(cut(v.join(odd, "fact", "left_semi"))))
+    v = v.join(beaten.distinct().withColumn("first", F.lit(True)), ["fact", "ver"], "left")
+    position = F.struct("place", F.col("first").isNull().alias("alone"), F.coalesce(F.col("op") != "assert", F.lit(False)).alias("later"), "ver")
+    ops = v.select("fact", position.alias("position"), F.when(F.col("op") == "retract", "delete").otherwise("insert").alias("kind"), "ver", F.col("first").isNull().alias("alone"))
+    patches = compose_patches(ops, ["fact"], "position", "kind", ["ver", "alone"], chunk=F.floor(F.col("position.place") / F.lit(range_width)))
+    return apply_patches(None, patches, ["fact"], ["ver", "alone"]).where("alone").select(F.col("fact").alias(fact), F.col("ver").alias(version))

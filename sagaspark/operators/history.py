@@ -1,9 +1,8 @@
 """Full history of changing attributes, kept by comparing snapshots as hash trees.
 
-A snapshot is the set of versions known up to a point. Its rows are spread over leaf buckets by key; a leaf's digest
-is the sum of its rows' hashes, a branch's the sum of its leaves'. Sums make digests of successive snapshots
-cumulative, so all trees come from one aggregation. Comparison goes down from the root and reads rows only of leaves
-whose digests differ.
+A snapshot is what stands at a point. Its rows are spread over leaf buckets by key; a leaf's digest is the sum of its
+rows' hashes, a branch's the sum of its leaves', so that all trees come from one aggregation. Comparison goes down from
+the root and reads rows only of leaves whose digests differ.
 """
 
 from __future__ import annotations
@@ -11,13 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sagaspark.session import cut
+
 LEAF_BITS = 12
 FANOUT_BITS = 6
 
 
+def _hash(cols: list[str]):
+    # Kept to 56 bits; summed as decimal it cannot overflow.
+    return F.shiftrightunsigned(F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols)), 8).cast("decimal(38,0)")
+
+
 def _digest(cols: list[str]):
-    # A hash kept to 56 bits and summed as decimal cannot overflow.
-    return F.sum(F.shiftrightunsigned(F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols)), 8).cast("decimal(38,0)"))
+    return F.sum(_hash(cols))
 
 
 def _leaf(keys: list[str], leaf_bits: int):
@@ -84,9 +89,10 @@ def attribute_history(versions: DataFrame, keys: list[str], start: str, value: s
     Of versions with the same start the one with the largest ``order`` (nulls smallest) stands, then the larger value.
     Neighbours with equal values are one period. Rows with a null key, start or value are left out.
 
-    The axis of ``start`` is cut into ``snapshots`` equal spans. Snapshot i holds all versions that start before the
-    end of span i; it is compared with snapshot i-1 as a hash tree, and only leaves that differ are read. New versions
-    are held against the value that stood in the snapshot before and appended. A key's versions of different spans are
+    The axis of ``start`` is cut into ``snapshots`` equal spans; snapshot i is what stands at the end of span i. A key's
+    versions of one span are a cell. Snapshot i-1 says of a key what stood, span i says of it the values it took: the two
+    are compared as hash trees, level by level, and within leaves that differ key by key. Cells that only restate what
+    stood are never read further. The versions of the others are held against what stood and appended. A key's cells are
     different groups, so that no task takes a hot key whole.
     """
     rows = versions.dropna(subset=[*keys, start, value])
@@ -95,31 +101,35 @@ def attribute_history(versions: DataFrame, keys: list[str], start: str, value: s
     snap = F.floor((F.col(start) - F.lit(low or 0)) / F.lit(width)).cast("int")
     rank = F.struct(*(F.col(o).alias(f"o{i}") for i, o in enumerate(order)), F.col(value).alias("v"))
     rows = rows.select(*keys, F.col(start).alias("valid_from"), snap.alias("snap"), rank.alias("r"))
-    # One exchange on (keys, span) serves the aggregation, the windows and the summaries below.
+    # One exchange on (keys, span) serves the aggregation, the cells and the windows below.
     rows = rows.repartition(*(F.col(k) for k in keys), F.col("snap"))
-    rows = rows.groupBy(*keys, "snap", "valid_from").agg(F.max("r").alias("r")).select(*keys, "snap", "valid_from", F.col("r.v").alias("v"))
-
-    # Trees of all snapshots: the digest of snapshot i is that of i-1 plus what span i brought.
-    leaf = _leaf(keys, leaf_bits)
-    brought = rows.groupBy(leaf.alias("leaf"), "snap").agg(_digest([*keys, "valid_from", "v"]).alias("d"))
-    so_far = Window.partitionBy("leaf").orderBy("snap").rowsBetween(Window.unboundedPreceding, 0)
-    trees = brought.withColumn("a", F.sum("d").over(so_far)).withColumn("b", F.col("a") - F.col("d")).select("snap", "leaf", "a", "b")
-    touched = _descend(trees, ["snap"], leaf_bits, fanout_bits).select("snap", F.col("leaf").alias("leaf_"))
-    # At most snapshots * 2**leaf_bits rows of two ints, whatever the size of the data.
-    small = touched if snapshots << leaf_bits > 1 << 20 else F.broadcast(touched)
-    news = rows.withColumn("leaf_", leaf).join(small, ["snap", "leaf_"], "left_semi").drop("leaf_")
+    rows = cut(rows.groupBy(*keys, "snap", "valid_from").agg(F.max("r").alias("r")).select(*keys, "snap", "valid_from", F.col("r.v").alias("v")))
 
-    # Within a span: drop what repeats its neighbour. Across spans: the first version against what stood before.
+    changed = changed_cells(rows, keys, leaf_bits, fanout_bits)
     inner = Window.partitionBy(*keys, "snap").orderBy("valid_from")
-    news = news.withColumn("before", F.lag("v").over(inner)).where("before is null or before != v")
-    summary = news.groupBy(*keys, "snap").agg(F.min("valid_from").alias("f1"), F.min_by("v", "valid_from").alias("v1"), F.max_by("v", "valid_from").alias("vn"), F.min(F.when(F.col("before").isNotNull(), F.col("valid_from"))).alias("f2"))
-    outer = Window.partitionBy(*keys).orderBy("snap")
-    summary = summary.withColumn("stood", F.lag("vn").over(outer)).withColumn("drop1", F.coalesce(F.col("stood") == F.col("v1"), F.lit(False)))
-    ahead = outer.rowsBetween(1, Window.unboundedFollowing)
-    summary = summary.withColumn("first", F.when(F.col("drop1"), F.col("f2")).otherwise(F.col("f1"))).withColumn("next", F.min("first").over(ahead)).select(*keys, "snap", "drop1", "next")
-    kept = news.join(summary, [*keys, "snap"]).where("before is not null or not drop1")
-    to = F.coalesce(F.lead("valid_from").over(inner), F.col("next"), F.lit(-1))
-    return kept.select(*keys, "valid_from", to.cast("int").alias("valid_to"), F.col("v").alias(value))
+    news = rows.join(changed, [*keys, "snap"]).withColumn("before", F.coalesce(F.lag("v").over(inner), "stood")).where("before is null or before != v")
+    # Within a cell a version ends where the next begins, the last one where the key's next changed cell begins.
+    news = news.select(*keys, "snap", "valid_from", "v", F.lead("valid_from").over(inner).alias("to"))
+    begins = news.groupBy(*keys, "snap").agg(F.min("valid_from").alias("begin"))
+    begins = begins.withColumn("next", F.lead("begin").over(Window.partitionBy(*keys).orderBy("snap"))).select(*keys, "snap", "next")
+    kept = news.join(begins, [*keys, "snap"])
+    return kept.select(*keys, "valid_from", F.coalesce("to", "next", F.lit(-1)).cast("int").alias("valid_to"), F.col("v").alias(value))
+
+
+def changed_cells(rows: DataFrame, keys: list[str], leaf_bits: int = LEAF_BITS, fanout_bits: int = FANOUT_BITS) -> DataFrame:
+    """Cells whose span says anything else of their key than the snapshot before: keys, snap, stood (null for a new key).
+
+    ``rows``: keys, snap, valid_from, v. Keys without a row in a span add the same to both digests and are left out of
+    them, so that all trees come from one aggregation over the cells.
+    """
+    cells = rows.groupBy(*keys, "snap").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max_by("v", "valid_from").alias("last"))
+    cells = cells.withColumn("stood", F.lag("last").over(Window.partitionBy(*keys).orderBy("snap"))).withColumn("leaf", _leaf(keys, leaf_bits))
+    was = F.when(F.col("stood").isNotNull(), _hash([*keys, "stood", "stood"]))
+    trees = cells.groupBy("snap", "leaf").agg(F.coalesce(F.sum(was), F.lit(0)).alias("b"), F.sum(_hash([*keys, "lo", "hi"])).alias("a"))
+    touched = _descend(trees, ["snap"], leaf_bits, fanout_bits).select("snap", "leaf")
+    # At most snapshots * 2**leaf_bits rows of two ints, whatever the size of the data.
+    cells = cells.join(F.broadcast(touched) if leaf_bits <= LEAF_BITS else touched, ["snap", "leaf"], "left_semi")
+    return cells.where("stood is null or lo != hi or lo != stood").select(*keys, "snap", "stood")
 
 
 def state_history(claims: DataFrame, payloads: DataFrame, snapshots: int = 16) -> DataFrame:
@@ -129,7 +139,6 @@ def state_history(claims: DataFrame, payloads: DataFrame, snapshots: int = 16) -
     """
     from sagaspark.operators.pointintime import usable_states
 
-    gone = claims.where("operation = 'retract' and supersedes_version_id is not null").select(F.col("supersedes_version_id").alias("version")).distinct()
-    live = usable_states(claims, payloads).join(gone, "version", "left_anti")
+    live = cut(usable_states(claims, payloads).where("not withdrawn").select("entity", "field", "start", "value", "seen", "version"))
     h = attribute_history(live, ["entity", "field"], "start", "value", ["seen", "version"], snapshots)
     return h.select(F.col("entity").alias("subject_entity_id"), "field", F.col("valid_from").cast("int").alias("valid_from"), "valid_to", "value")

@@ -103,3 +103,19 @@ def test_snapshots_append(spark):
     h = history.append_snapshot(a.limit(0).selectExpr("k", "v", "0 valid_from", "0 valid_to"), a, 10, ["k"], ["v"])
     h = history.append_snapshot(h, b, 20, ["k"], ["v"])
     assert {tuple(r) for r in h.collect()} == {("a", 1, 10, -1), ("b", 2, 10, 20), ("c", None, 10, 20), ("b", 3, 20, -1), ("d", 4, 20, -1), (None, 7, 20, -1)}
+
+
+def test_restated_cells_are_not_read(spark):
+    rows = [("A", 0, 1, "p"), ("A", 1, 12, "p"), ("A", 2, 25, "p"), ("A", 3, 31, "q"), ("B", 0, 2, "p"), ("B", 1, 11, "p"), ("B", 1, 12, "r"), ("B", 1, 13, "p"), ("C", 2, 22, "z")]
+    df = spark.createDataFrame(rows, "k string, snap int, valid_from int, v string")
+    for bits in (1, 12):
+        assert {tuple(r) for r in history.changed_cells(df, ["k"], bits, 1).collect()} == {("A", 0, None), ("A", 3, "p"), ("B", 0, None), ("B", 1, "p"), ("C", 2, None)}
+
+
+def test_a_node_keeps_what_can_win(spark):
+    # One entity with very many states that all hold: per point of knowledge one is left.
+    s = spark.range(3000).selectExpr("concat('v', lpad(id, 5, '0')) version", "'A' entity", "'x' field", "cast(id % 50 as int) start", "cast(null as int) until", "cast(id % 7 as int) seen", "cast(null as int) gone")
+    e = spark.createDataFrame([("e1", "A", 60, 3), ("e2", "A", 10, 0), ("e3", "A", 60, 9)], "event string, entity string, at int, known int")
+    got = {r.event: r.version for r in pointintime.attributes_at_events(e, s).collect()}
+    want = {n: max((i % 50, i % 7, f"v{i:05}") for i in range(3000) if i % 50 <= at and i % 7 <= known)[2] for n, _, at, known in [("e1", "A", 60, 3), ("e2", "A", 10, 0), ("e3", "A", 60, 9)]}
+    assert got == want
