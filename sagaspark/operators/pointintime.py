@@ -52,11 +52,12 @@ def attributes_at_events(events: DataFrame, states: DataFrame) -> DataFrame:
     top = F.lit(high + 1)
     s = s.withColumn("start_", F.greatest("start", F.lit(low))).withColumn("end_", F.least(F.coalesce("until", top), top)).where("start_ < end_ and (gone is null or gone > seen)")
     # Digests of ids go through the shuffles; the ids come back at the end.
-    s = s.select(F.xxhash64("entity").alias("who"), F.explode(covering_nodes(F.col("start_"), F.col("end_"), low, levels)).alias("node"), "field", "seen", "gone", F.struct("start", "seen", "version").alias("s"))
+    s = s.select(F.xxhash64("entity").alias("who"), F.explode(covering_nodes(F.col("start_"), F.col("end_"), low, levels)).alias("node"), "field", "seen", "gone", "start", "version")
     # Of what became known at one point and was withdrawn at one, only the best can win in a node; nor can what is worse
     # than something known no later and never withdrawn. What is left of a node depends on the points of knowledge, not
-    # on the number of states.
-    s = s.groupBy("who", "node", "field", "seen", "gone").agg(F.max("s").alias("s"))
+    # on the number of states. One exchange on (who, node) serves the aggregation, the window and the join.
+    s = s.repartition("who", "node").groupBy("who", "node", "field", "seen", "gone").agg(F.max(F.struct("start", "version")).alias("s"))
+    s = s.withColumn("s", F.struct("s.start", "seen", "s.version"))
     before = Window.partitionBy("who", "node", "field").orderBy("seen").rangeBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("lasting", F.max(F.when(F.col("gone").isNull(), F.col("s"))).over(before)).where("lasting is null or lasting <= s").drop("lasting")
     ids = e.select(F.xxhash64("event", "entity").alias("id"), "event", "entity", "at", "known")
