@@ -3,7 +3,7 @@
 Texts are cut into short segments. Each gets features of density, entropy, repetition and function words. Per language
 a robust centre and scatter are fitted to all segments of the corpus (medians and MADs, then a covariance over the
 segments within the cutoff, twice). A segment is spam if its Mahalanobis distance is beyond the cutoff and its
-displacement points in spam-directed directions. A document is spam if such segments make up more than half of it.
+displacement points in the direction in which the features turn to spam; nothing else decides. A document is spam if such segments make up more than half of it.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ ZH_CHARS = frozenset("的了着在是不也就把被与和而却又才只从到
 FEATURES = ["function", "ends", "links", "separators", "quotes", "repeats", "entropy", "distinct"]
 #: Spam-directed side of each feature: +1 more of it, -1 less of it.
 SIDES = np.array([-1, -1, 1, 1, -1, 1, -1, -1], float)
-#: Features that speak for prose when they are on their other side, by this factor.
-AGAINST = np.array([3, 4, 0, 0, 9, 0, 0, 0], float)
+#: Least cosine between a segment's whitened displacement and the direction in which all features turn to spam.
+DIRECTION = 0.1
 #: Least scale of a feature, and a scale fixed for quotes, which prose has in plenty or not at all.
 LEAST = np.array([0.04, 0.04, 0.02, 0.05, 0.06, 0.05, 0.03, 0.05])
 SEGMENT = 160
@@ -36,8 +36,9 @@ SHORT_LINE = 60
 #: 0.99 quantile of chi-squared with eight degrees of freedom.
 CUTOFF = 20.1
 
-_LINK = re.compile(r"<a\b[^>]*>|</a>|\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\")\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|info|test|example|invalid|cn)\b(?:/\S*)?", re.I)
-_HINTS = ("</a>", "http", "www.", "HTTP", "WWW.", "</A>", ".com", ".net", ".org", ".info", ".test", ".example", ".invalid", ".cn")
+_LINK = re.compile(r"<[aA]\b[^>]*>|</[aA]>|\]\([^)\s]*\)|(?:[hH][tT][tT][pP][sS]?://|[wW]{3}\.)[^\s<>\")\]]+|\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,7}\b(?:/\S*)?")
+#: What every link holds; most texts are told by it to have none.
+_HINT = re.compile(r"</|\]\(|://|[wW]\.|[a-z0-9-]\.[a-z]{2}|<[aA]\b")
 
 
 def _segments(t: tk.Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +89,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """Of all segments of some texts: the text's place, its language (0 alphabetic, 1 Han), visible length, features."""
     hidden = None
     for i, x in enumerate(texts):
-        if any(h in x for h in _HINTS):
+        if _HINT.search(x):
             if hidden is None:
                 at = np.concatenate([[0], np.cumsum([len(y) for y in texts])])
                 hidden = np.zeros(at[-1], bool)
@@ -206,45 +207,55 @@ def fit(segments: DataFrame, rounds: int = 2) -> dict[int, tuple[np.ndarray, np.
     scale = {k: np.maximum(v, LEAST) for k, v in mad.items()}
     for v in scale.values():
         v[4] = LEAST[4]
-    z = segments.select("lang", F.array(*(o / per_lang(scale, i) for i, o in enumerate(off))).alias("z"))
-    inside = F.aggregate("z", F.lit(0.0), lambda a, y: a + y * y) < CUTOFF
-    model: dict = {}
+    model = {k: (med[k], scale[k], np.zeros(p), np.eye(p)) for k in med}
     for _ in range(rounds):
-        sums = [F.count("*"), *(F.sum(F.col("z")[i]) for i in range(p)), *(F.sum(F.col("z")[i] * F.col("z")[j]) for i in range(p) for j in range(i, p))]
-        for r in z.where(inside).groupBy("lang").agg(*sums).collect():
-            n, s, q = r[1], np.array(r[2 : 2 + p], float), r[2 + p :]
-            c = np.zeros((p, p))
-            for (i, j), v in zip([(i, j) for i in range(p) for j in range(i, p)], q):
-                c[i, j] = c[j, i] = v
+        for k, (n, s, q) in _moments(segments, model).items():
             mu = s / n
-            w, vec = np.linalg.eigh(c / n - np.outer(mu, mu) + 0.05 * np.eye(p))
-            model[r[0]] = (med[r[0]], scale[r[0]], mu, vec @ np.diag(np.maximum(w, 1e-3) ** -0.5) @ vec.T)
-        if not model:
-            return {k: (med[k], scale[k], np.zeros(p), np.eye(p)) for k in med}
-        d2 = F.lit(0.0)
-        for i in range(p):
-            y = F.lit(0.0)
-            for j in range(p):
-                y = y + (F.col("z")[j] - per_lang({k: m[2] for k, m in model.items()}, j)) * per_lang({k: m[3][i] for k, m in model.items()}, j)
-            d2 = d2 + y * y
-        inside = d2 < CUTOFF
-    return {k: model.get(k, (med[k], scale[k], np.zeros(p), np.eye(p))) for k in med}
-
-
-def spam_share(segments: DataFrame, model: dict) -> DataFrame:
-    """Share of each document's visible characters in segments that are outliers on the spam-directed side: id, share."""
+            w, vec = np.linalg.eigh(q / n - np.outer(mu, mu) + 0.05 * np.eye(p))
+            model[k] = (med[k], scale[k], mu, vec @ np.diag(np.maximum(w, 1e-3) ** -0.5) @ vec.T)
+    return model
+
+
+def _displacements(f: pd.DataFrame, model: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each language's segments: language, their places, scaled features, whitened displacement from the centre."""
+    x, lang = np.stack(f["x"].to_numpy()).astype(float), f["lang"].to_numpy()
+    for k, (med, scale, mu, white) in model.items():
+        on = np.flatnonzero(lang == k)
+        z = (x[on] - med) / scale
+        yield k, on, z, (z - mu) @ white
+
+
+def _moments(segments: DataFrame, model: dict) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Count, sums and sums of products of the scaled features of all segments within the cutoff, per language."""
+    p = len(FEATURES)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for f in frames:
+            for k, _, z, y in _displacements(f, model) if len(f) else ():
+                z = z[(y * y).sum(1) < CUTOFF]
+                total[k] = total.get(k, 0) + np.concatenate([[len(z)], z.sum(0), (z.T @ z).ravel()])
+        yield pd.DataFrame([(k, i, v) for k, t in total.items() for i, v in enumerate(t)], columns=["lang", "i", "v"])
+
+    sums: dict = {}
+    for r in segments.select("lang", "x").mapInPandas(run, "lang int, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect():
+        sums.setdefault(r.lang, np.zeros(1 + p + p * p))[r.i] = r.v
+    return {k: (t[0], t[1 : 1 + p], t[1 + p :].reshape(p, p)) for k, t in sums.items() if t[0] > 0}
+
+
+def spam_share(segments: DataFrame, model: dict, direction: float = DIRECTION) -> DataFrame:
+    """Share of each document's visible characters in segments that are outliers in a spam-directed direction: id, share."""
+    towards = SIDES / np.sqrt(len(SIDES))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if not len(f):
                 continue
-            x, lang = np.stack(f["x"].to_numpy()).astype(float), f["lang"].to_numpy()
-            d = np.zeros(len(f))
-            for k, (med, scale, mu, white) in model.items():
-                on = lang == k
-                y = ((x[on] - med) / scale - mu) @ white
-                d[on] = (np.where(y * SIDES > 0, y, 0) ** 2).sum(1) - (np.where(y * SIDES < 0, y, 0) ** 2 * AGAINST).sum(1)
-            yield pd.DataFrame({"id": f["id"], "size": f["size"].astype("int64"), "spam": np.where(d > CUTOFF, f["size"], 0).astype("int64")})
+            spam = np.zeros(len(f), bool)
+            for _, on, _, y in _displacements(f, model):
+                far = np.sqrt((y * y).sum(1))
+                spam[on] = (far * far > CUTOFF) & (y @ towards >= direction * far)
+            yield pd.DataFrame({"id": f["id"], "size": f["size"].astype("int64"), "spam": np.where(spam, f["size"], 0).astype("int64")})
 
     kind = dict(segments.dtypes)["id"]
     marked = segments.mapInPandas(run, f"id {kind}, size long, spam long")
