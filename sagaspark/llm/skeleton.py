@@ -17,12 +17,15 @@ from pyspark.sql import types as T
 
 from sagaspark.session import cut
 
-# Letters of Cyrillic and Greek, and marks, that are drawn like the character after them.
+# Letters of Cyrillic, Greek, Armenian, Coptic and Cherokee, letters of Latin extensions, and marks, that are drawn like the character after them.
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ο": "o", "ν": "v", "ι": "i", "ϲ": "c", "ϳ": "j",
+    "ο": "o", "ν": "v", "ι": "i", "ϲ": "c", "ϳ": "j", "α": "a", "ρ": "p", "γ": "y", "υ": "u", "σ": "o", "Ϲ": "C", "Ϳ": "J",
+    "У": "Y", "ү": "y", "Ѵ": "V", "Ӏ": "I", "ӏ": "l", "Ь": "b", "З": "3", "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ʏ": "y", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ѕ": "s",
+    "օ": "o", "ո": "n", "ս": "u", "ց": "g", "հ": "h", "զ": "q", "յ": "j", "Օ": "O", "Տ": "S", "Ս": "U", "ⲟ": "o", "Ⲟ": "O", "ⲣ": "p", "Ⲣ": "P", "ⲥ": "c", "Ⲥ": "C", "Ⲏ": "H", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲧ": "T",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
     "‐": "-", "‑": "-", "‒": "-", "−": "-", "‧": "·", "・": "·", "•": "·", "∙": "·", "⋅": "·", "․": ".", "…": "...", "‘": "'", "’": "'", "ʼ": "'", "ʹ": "'", "∕": "/", "⁄": "/", "∶": ":", "꞉": ":",
 }
 
