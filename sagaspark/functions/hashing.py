@@ -22,6 +22,15 @@ def event_fact_id(kind: Column, participants: Column, place: Column) -> Column:
     return prefixed("fact", F.lit("event"), kind, F.array_join(F.array_sort(F.array_distinct(F.coalesce(participants, F.array().cast("array<string>")))), ","), place)
 
 
+def semantic_fact_id(kind: str, **fields: Column) -> Column:
+    """Id of a fact by what it is about: the fields that are there, by name, as JSON text, hashed; null fields play no role.
+
+    Fields are strings without characters that JSON escapes.
+    """
+    shown = [F.concat(F.lit(f'"{k}":"'), fields[k], F.lit('"')) for k in sorted(fields)]
+    return prefixed("fact", F.lit(kind), F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *shown), F.lit("}")), 256))
+
+
 def config_hash(values: dict) -> str:
     """Hash of a configuration: keys sorted, no blanks, non-ASCII kept."""
     import hashlib

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sagaspark.queries import general, knowledge, reports, texts
+from sagaspark.queries import evidence, general, knowledge, reports, texts
 
-MODULES = [general, knowledge, reports, texts]
+MODULES = [general, knowledge, reports, texts, evidence]
 
 
 def all_queries() -> dict:
