@@ -142,14 +142,16 @@ def op_k1_surface_normalise(spark, d):
     return table(spark, d, "alias_claims").where("surface_name is not null").groupBy(s.alias("surface")).agg(F.countDistinct("canonical_id").alias("records"))
 
 
-#: Names that address anybody.
-GENERIC = ["掌柜的", "那个人", "师叔", "大人", "师父", "老头子", "the old man", "Uncle", "Master", "the captain", "the stranger", "my lord"]
+#: Words for anybody, which name nobody.
+GENERIC = "男子 中年男子 少年 少女 青年 老人 长老 掌门 弟子 母亲 父亲 姐姐 哥哥 妹妹 弟弟 众人 围观者 镇上人 同门弟子".split()
 _GEN = ", ".join(f"'{g}'" for g in GENERIC)
 
 
-@q(f"select surface_name, count(distinct canonical_id) as records, 'generic' as reason from alias_claims where surface_name in ({_GEN}) group by 1")
+@q(f"select surface_name, count(distinct canonical_id) as records, case when regexp_replace(surface_name, '[\\s\u3000]+', '', 'g') in ({_GEN}) then 'generic' else 'name' end as reason from alias_claims where surface_name is not null group by surface_name")
 def op_k2_generic_names(spark, d):
-    return table(spark, d, "alias_claims").where(F.col("surface_name").isin(GENERIC)).groupBy("surface_name").agg(F.countDistinct("canonical_id").alias("records"), F.lit("generic").alias("reason"))
+    """Every disclosed name and whether it names nobody in particular."""
+    bare = F.regexp_replace("surface_name", r"[\s\u3000]+", "")
+    return table(spark, d, "alias_claims").where("surface_name is not null").groupBy("surface_name").agg(F.countDistinct("canonical_id").alias("records")).withColumn("reason", F.when(bare.isin(GENERIC), "generic").otherwise("name"))
 
 
 @q("with s as (select surface_name, min(canonical_id) as seed from alias_claims where operation <> 'retract' group by 1) select canonical_id, seed from entity_records join s on surface_name = canonical_name")
@@ -412,11 +414,6 @@ def op_q6_edge_precision(spark, d):
 
 
 # ---- streams and operations
-@q(f"{V} select observed_ordinal, count(*) as leaks from vis where {KNOWN} and observed_ordinal > {CUTOFF} group by 1")
-def op_t2_leakage_scan(spark, d):
-    return vis(spark, d).where(tm.known_by(CUTOFF)).where(f"observed_ordinal > {CUTOFF}").groupBy("observed_ordinal").agg(F.count("*").alias("leaks"))
-
-
 @q("select raw_chunk_id from (select distinct raw_chunk_id, content, content_hash, token_count from raw_chunks) where sha256(content) is distinct from content_hash or length(content) is distinct from token_count")
 def op_t3_reproduction(spark, d):
     c = table(spark, d, "raw_chunks").select("raw_chunk_id", "content", "content_hash", "token_count").distinct()
