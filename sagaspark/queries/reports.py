@@ -15,9 +15,14 @@ q = Queries()
 V = f"with {VIS_SQL}"
 
 
-@q("select user_id % 7 as run, sum(value) is not null as has, round(coalesce(sum(value), 0), 4) as total, count(*) as calls, count(distinct event_type) as stages from events group by 1")
+@q("select user_id as run, count(*) as calls, coalesce(sum(k) filter (where event_type = 'view'), 0) as input_units, coalesce(sum(k) filter (where event_type = 'click'), 0) as output_units, coalesce(sum(k) filter (where event_type = 'purchase'), 0) as cached_units, coalesce(sum(k) filter (where event_type = 'error'), 0) as retry_units, coalesce(sum(k) filter (where event_type not in ('view', 'click', 'purchase', 'error')), 0) as other_units, coalesce(sum(k) filter (where event_type <> 'error'), 0) as total from (select *, json_extract_string(props, '$.k')::int as k from events) group by 1")
 def op_d1_ledger_totals(spark, d):
-    return table(spark, d, "events").groupBy((F.col("user_id") % 7).alias("run")).agg(F.sum("value").isNotNull().alias("has"), F.round(F.coalesce(F.sum("value"), F.lit(0)), 4).alias("total"), F.count("*").alias("calls"), F.countDistinct("event_type").alias("stages"))
+    """Six sums per run; what was spent on retries is not in the total."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    part = lambda c: F.coalesce(F.sum(F.when(c, k)), F.lit(0).cast("long"))
+    kinds = {"input_units": "view", "output_units": "click", "cached_units": "purchase", "retry_units": "error"}
+    other = ~F.col("event_type").isin(*kinds.values())
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("calls"), *(part(F.col("event_type") == t).alias(n) for n, t in kinds.items()), part(other).alias("other_units"), part(F.col("event_type") != "error").alias("total"))
 
 
 @q("select event_type as stage, count(*) as calls, round(avg(value), 4) as mean_value, round(max(value), 4) as most from events group by 1")
@@ -41,9 +46,11 @@ def op_d5_status_histogram(spark, d):
     return runs(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@q("select claim_type, count(*) as claims, sum(coalesce(len(participants), 0)) as participants from claims group by 1")
+@q("select claim_type, count(*) as claims, sum(coalesce(json_array_length(to_json(participants)), 0))::bigint as participants from claims group by 1")
 def op_d6_length_sums(spark, d):
-    return table(spark, d, "claims").groupBy("claim_type").agg(F.count("*").alias("claims"), F.sum(F.coalesce(F.size("participants"), F.lit(0)).cast("long")).alias("participants")).withColumn("participants", F.col("participants"))
+    """Sums of the lengths of JSON arrays, as drafts keep them."""
+    c = table(spark, d, "claims").select("claim_type", F.json_array_length(F.to_json("participants")).alias("n"))
+    return c.groupBy("claim_type").agg(F.count("*").alias("claims"), F.sum(F.coalesce("n", F.lit(0)).cast("long")).alias("participants"))
 
 
 _ISSUES = "select claim_version_id, unnest(list_filter([case when observed_ordinal is null then 'no_ordinal' end, case when world_valid_kind = 'unknown' then 'no_time' end, case when supersedes_version_id is null and operation <> 'assert' then 'no_predecessor' end, case when claim_type = 'event' and coalesce(len(participants), 0) = 0 then 'no_participant' end], lambda x: x is not null)) as code from (select distinct claim_version_id, observed_ordinal, world_valid_kind, supersedes_version_id, operation, claim_type, participants from claims)"
@@ -112,11 +119,11 @@ def op_d15_usage_per_corpus(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.sum("value").alias("v")).crossJoin(F.broadcast(chars)).select("stage", F.round(F.col("v") * 10000.0 / F.col("c"), 6).alias("per_10k_chars"))
 
 
-@q("select user_id % 7 as run, round(sum(case event_type when 'purchase' then 0.60 when 'view' then 0.15 else 0.015 end * value) / 1000000, 9) as cost from events group by 1")
+@q("select user_id as run, round(sum(case event_type when 'view' then 0.15 when 'purchase' then 0.015 when 'click' then 0.60 else 0 end * json_extract_string(props, '$.k')::int)::double / 1000000, 9) as cost from events group by 1")
 def op_d16_nominal_cost(spark, d):
     # Prices in USD per million units of input, cached input and output.
-    price = F.when(F.col("event_type") == "purchase", 0.60).when(F.col("event_type") == "view", 0.15).otherwise(0.015)
-    return table(spark, d, "events").groupBy((F.col("user_id") % 7).alias("run")).agg(F.round(F.sum(price * F.col("value")) / 1000000, 9).alias("cost"))
+    price = F.when(F.col("event_type") == "view", 0.15).when(F.col("event_type") == "purchase", 0.015).when(F.col("event_type") == "click", 0.60).otherwise(0.0)
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.round(F.sum(price * F.get_json_object("props", "$.k").cast("int")) / 1000000, 9).alias("cost"))
 
 
 @q(f"{V}, {current_sql()} select book_id, observed_ordinal, array_to_string(list(claim_version_id order by claim_version_id), ',') as versions, count(*) as n from cur where observed_ordinal is not null group by 1, 2")
@@ -235,10 +242,13 @@ def op_l5_link_write(spark, d):
     return c.join(o.withColumnsRenamed({"fact": "source", "ord": "oa"}), "source").join(o.withColumnsRenamed({"fact": "target", "ord": "ob"}), "target").select("source", "target", F.greatest("oa", "ob").alias("observed_ordinal"), F.lit("chapter_proxy").alias("world_valid_kind"))
 
 
-@q("select distinct query_id, raw_chunk_id, route, case when score is not null and trim(route) <> '' and score > 0 then 'supported' else 'unverified' end as status from search_hits")
+@q("select claim_version_id, case when bool_or(claim_status = 'supported' and primary_evidence_id is not null and trim(primary_evidence_id) <> '') then 'supported' when bool_or(claim_status = 'supported') then 'unverified' else min(claim_status) end as status from claims where claim_version_id is not null group by 1")
 def op_l6_verification_downgrade(spark, d):
-    ok = F.col("score").isNotNull() & (F.trim("route") != "") & (F.col("score") > 0)
-    return table(spark, d, "search_hits").select("query_id", "raw_chunk_id", "route", F.when(ok, "supported").otherwise("unverified").alias("status")).distinct()
+    """What is called supported without evidence is unverified."""
+    said = F.coalesce(F.col("claim_status") == "supported", F.lit(False))
+    shown = said & F.coalesce(F.trim("primary_evidence_id") != "", F.lit(False))
+    g = table(spark, d, "claims").where("claim_version_id is not null").groupBy("claim_version_id").agg(F.bool_or(shown).alias("a"), F.bool_or(said).alias("b"), F.min("claim_status").alias("c"))
+    return g.select("claim_version_id", F.when(F.col("a"), "supported").when(F.col("b"), "unverified").otherwise(F.col("c")).alias("status"))
 
 
 # ---- versioned writes
@@ -258,10 +268,14 @@ def op_m3_write_alias(spark, d):
     return table(spark, d, "alias_claims").groupBy("claim_version_id").agg(first.alias("r")).select("r.alias_fact_id", "claim_version_id", "r.surface_name")
 
 
-@q(f"with {RUNS_SQL} select distinct claim_version_id, 'run_new' as run_id from claims join runs on run_id = created_by_run_id and status = 'superseded'".replace("select distinct claim_version_id", "select distinct claims.claim_version_id"))
+@q(f"with {RUNS_SQL}, old as (select run_id as r from runs where status = 'superseded') select distinct 'claim' as kind, claim_version_id as id from claims join old on r = created_by_run_id union select 'alias', claim_version_id from alias_claims join old on r = created_by_run_id union select 'entity', canonical_id from entity_records join old on r = created_by_run_id union select 'mention', subject_entity_id from state_payloads where claim_version_id in (select claim_version_id from claims join old on r = created_by_run_id) and subject_entity_id is not null")
 def op_m4_membership_copy(spark, d):
+    """What a new run takes over from those it replaces: claims, aliases, entities, mentions."""
     r = runs(spark, d).where("status = 'superseded'").select(F.col("run_id").alias("created_by_run_id"))
-    return table(spark, d, "claims").join(r, "created_by_run_id", "left_semi").select("claim_version_id", F.lit("run_new").alias("run_id")).distinct()
+    part = lambda t, kind, key: table(spark, d, t).join(r, "created_by_run_id", "left_semi").select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
+    own = part("claims", "claim", "claim_version_id")
+    said = table(spark, d, "state_payloads").where("subject_entity_id is not null").join(own.select(F.col("id").alias("claim_version_id")), "claim_version_id", "left_semi").select(F.lit("mention").alias("kind"), F.col("subject_entity_id").alias("id"))
+    return own.union(part("alias_claims", "alias", "claim_version_id")).union(part("entity_records", "entity", "canonical_id")).union(said).distinct()
 
 
 @q("select canonical_id, arg_max(tier, struct_pack(r := created_by_run_id, n := tier)) as tier, max(importance_score) as importance_score from entity_records group by 1")
@@ -276,24 +290,44 @@ def op_m6_boundary_guard(spark, d):
 
 
 # ---- runs
-@q(f"with {RUNS_SQL} select run_id, count(distinct c.claim_version_id) as claims, count(distinct c.claim_version_id) filter (where claim_status = 'supported' and primary_evidence_id is null) as unproven, count(distinct c.claim_version_id) filter (where claim_status = 'supported' and primary_evidence_id is null) = 0 as ready from claims c join runs on run_id = c.created_by_run_id group by 1")
+_GATE = """g as (select c.book_id, c.created_by_run_id as run_id, max(c.created_at) as t, count(distinct c.claim_version_id) as claims, avg(case when c.observed_chapter_id is not null then 1.0 else 0 end) >= 0.8 as chapters_done, avg(case when claim_status = 'rejected' then 1.0 else 0 end) <= 0.1 as few_failed,
+count(*) filter (where c.observed_chapter_id is not null and h.chapter_id is null) * 10 <= count(*) as keys_hold, count(*) filter (where claim_status = 'supported' and primary_evidence_id is null) = 0 as proven, count(distinct c.claim_version_id) = count(distinct (c.claim_version_id, c.fact_id)) as consistent
+from claims c left join (select distinct chapter_id from chapters) h on h.chapter_id = c.observed_chapter_id where c.created_by_run_id is not null group by 1, 2), gate as (select *, chapters_done and few_failed and keys_hold and proven and consistent as ready from g)"""
+
+
+def gate(spark, d):
+    """The five conditions a run must meet before it may become active, per book and run."""
+    h = table(spark, d, "chapters").select(F.col("chapter_id").alias("observed_chapter_id"), F.lit(True).alias("held")).distinct()
+    c = table(spark, d, "claims").where("created_by_run_id is not null").join(h, "observed_chapter_id", "left")
+    share = lambda x: F.avg(F.when(x, 1.0).otherwise(0.0))
+    loose = F.count(F.when(F.col("observed_chapter_id").isNotNull() & F.col("held").isNull(), 1))
+    unproven = F.count(F.when((F.col("claim_status") == "supported") & F.col("primary_evidence_id").isNull(), 1))
+    g = c.groupBy("book_id", F.col("created_by_run_id").alias("run_id")).agg(
+        F.max("created_at").alias("t"), F.countDistinct("claim_version_id").alias("claims"), (share(F.col("observed_chapter_id").isNotNull()) >= 0.8).alias("chapters_done"), (share(F.col("claim_status") == "rejected") <= 0.1).alias("few_failed"),
+        (loose * 10 <= F.count("*")).alias("keys_hold"), (unproven == 0).alias("proven"), (F.countDistinct("claim_version_id") == F.countDistinct(F.struct("claim_version_id", "fact_id"))).alias("consistent"),
+    )
+    return g.withColumn("ready", F.col("chapters_done") & F.col("few_failed") & F.col("keys_hold") & F.col("proven") & F.col("consistent"))
+
+
+@q(f"with {_GATE} select book_id, run_id, claims, chapters_done, few_failed, keys_hold, proven, consistent, ready from gate")
 def op_n3_activation_gate(spark, d):
-    c = table(spark, d, "claims").where("created_by_run_id is not null")
-    bad = F.countDistinct(F.when((F.col("claim_status") == "supported") & F.col("primary_evidence_id").isNull(), F.col("claim_version_id")))
-    return c.groupBy(F.col("created_by_run_id").alias("run_id")).agg(F.countDistinct("claim_version_id").alias("claims"), bad.alias("unproven")).withColumn("ready", F.col("unproven") == 0)
+    return gate(spark, d).drop("t")
 
 
-@q("with r as (select distinct book_id, created_by_run_id as run_id, max(created_at) over (partition by book_id, created_by_run_id) as t from claims) select book_id, run_id, case when row_number() over (partition by book_id order by t desc, run_id) = 1 then 'active' else 'superseded' end as status from r")
+@q(f"with {_GATE}, r as (select *, row_number() over (partition by book_id, ready order by t desc, run_id) as rn from gate) select book_id, run_id, case when not ready then 'failed' when rn = 1 then 'active' else 'superseded' end as status from r")
 def op_n4_activation(spark, d):
-    r = table(spark, d, "claims").groupBy("book_id", F.col("created_by_run_id").alias("run_id")).agg(F.max("created_at").alias("t"))
-    w = Window.partitionBy("book_id").orderBy(F.desc("t"), "run_id")
-    return r.select("book_id", "run_id", F.when(F.row_number().over(w) == 1, "active").otherwise("superseded").alias("status"))
+    """Of the runs of a book that pass the gate the newest is active and the others superseded; the rest failed."""
+    w = Window.partitionBy("book_id", "ready").orderBy(F.desc("t"), "run_id")
+    return gate(spark, d).select("book_id", "run_id", F.when(~F.col("ready"), "failed").when(F.row_number().over(w) == 1, "active").otherwise("superseded").alias("status"))
 
 
-@q("select source_chapter_id, chunking_version, sha256(string_agg(content_hash, ',' order by content_hash)) as checkpoint_key from (select distinct source_chapter_id, chunking_version, content_hash from raw_chunks where content_hash is not null) group by 1, 2")
+@q("select distinct 'ckp_' || substring(sha256(concat_ws(chr(31), coalesce(book_id, ''), coalesce(observed_chapter_id, ''), coalesce(h.content_hash, ''), coalesce(prompt_version, ''), coalesce(pipeline_version, ''), coalesce(claim_type, ''), 'v1')), 1, 16) as checkpoint_key, h.content_hash is not null as found from claims left join (select chapter_id, min(content_hash) as content_hash from chapters group by 1) h on h.chapter_id = observed_chapter_id")
 def op_n5_checkpoint_key(spark, d):
-    c = table(spark, d, "raw_chunks").where("content_hash is not null").select("source_chapter_id", "chunking_version", "content_hash").distinct()
-    return c.groupBy("source_chapter_id", "chunking_version").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("content_hash")), ","), 256).alias("checkpoint_key"))
+    """Keys of seven fields by which work that is done is found again, and whether the chapter is there to be looked up."""
+    h = table(spark, d, "chapters").groupBy(F.col("chapter_id").alias("observed_chapter_id")).agg(F.min("content_hash").alias("content_hash"))
+    c = table(spark, d, "claims").join(h, "observed_chapter_id", "left")
+    key = hashing.prefixed("ckp", *(F.col(x) for x in ("book_id", "observed_chapter_id", "content_hash", "prompt_version", "pipeline_version", "claim_type")), F.lit("v1"))
+    return c.select(key.alias("checkpoint_key"), F.col("content_hash").isNotNull().alias("found")).distinct()
 
 
 # ---- summaries
@@ -343,15 +377,21 @@ def op_o5_book_reduce(spark, d):
     return v.groupBy("book_id").agg(F.array_join(s, "；").alias("summary"), F.max("mo").alias("max_ordinal"))
 
 
-@q(f"{V}, {current_sql(name='a')}, {current_sql(KNOWN, name='b')}, x as (select book_id, string_agg(claim_version_id, ',' order by claim_version_id) as s from a group by 1), y as (select book_id, string_agg(claim_version_id, ',' order by claim_version_id) as s from b group by 1) select x.book_id, case when x.s = y.s then 'reuse' else 'new version' end as verdict from x left join y using (book_id)".replace("select x.book_id,", "select book_id,"))
+_SUM = "sum(('0x' || substring(sha256(claim_version_id), 1, 12))::bigint)::decimal(38,0)"
+
+
+@q(f"{V}, {current_sql(name='a')}, {current_sql(KNOWN, name='b')}, x as (select book_id, {_SUM} as s, count(*) as n, count(distinct fact_id) as f, max(observed_ordinal) as o, count(distinct claim_type) as t from a group by 1), y as (select book_id, {_SUM} as s, count(*) as n, count(distinct fact_id) as f, max(observed_ordinal) as o, count(distinct claim_type) as t from b group by 1) select book_id, case when x.s = y.s and x.n = y.n and x.f = y.f and x.o is not distinct from y.o and x.t = y.t then 'reuse' else 'new version' end as verdict from x left join y using (book_id)")
 def op_o6_summary_reuse(spark, d):
+    """A summary is used again if its claims, their number, facts, last chapter and kinds are those of before. A set of claims is
+    told by the sum of their digests, so that no book is collected in one row."""
     v = vis(spark, d)
+    digest = F.sum(F.conv(F.substring(F.sha2("claim_version_id", 256), 1, 12), 16, 10).cast("decimal(38,0)"))
 
     def key(c, name):
-        return c.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list("claim_version_id")), ",").alias(name))
+        return c.groupBy("book_id").agg(F.struct(digest.alias("s"), F.count("*").alias("n"), F.countDistinct("fact_id").alias("f"), F.max("observed_ordinal").alias("o"), F.countDistinct("claim_type").alias("t")).alias(name))
 
     j = key(tm.current(v), "x").join(key(tm.current(v, cutoff=CUTOFF), "y"), "book_id", "left")
-    return j.select("book_id", F.when(F.col("x") == F.col("y"), "reuse").otherwise("new version").alias("verdict"))
+    return j.select("book_id", F.when(F.col("x").eqNullSafe(F.col("y")), "reuse").otherwise("new version").alias("verdict"))
 
 
 @q(f"{V}, {current_sql()} select book_id, observed_ordinal // 50 as volume, max(observed_ordinal) as max_ordinal from cur where {KNOWN} group by 1, 2")
@@ -378,20 +418,23 @@ def op_q1_set_prf(spark, d):
     return j.select("query_id", *prf(F.col("tp"), F.col("pred"), F.col("gold")))
 
 
-@q("""with g as (select book_id, count(*) as n from entity_records where canonical_name is not null group by 1, lower(canonical_name)), t as (select book_id, count(*) as n from entity_records where canonical_name is not null group by 1, lower(canonical_name), tier)
-select 'gold' as kind, sum(n * (n - 1) // 2)::bigint as pairs from g union all select 'with tier', sum(n * (n - 1) // 2)::bigint from t""")
+@q(f"""with e as (select book_id, lower(canonical_name) as g, lower(split_part(canonical_name, ' ', 1)) || coalesce(tier, '') as p from entity_records where canonical_name is not null),
+n as (select (select sum(n * (n - 1) // 2) from (select count(*) as n from e group by book_id, g)) as gold, (select sum(n * (n - 1) // 2) from (select count(*) as n from e group by book_id, p)) as pred, (select sum(n * (n - 1) // 2) from (select count(*) as n from e group by book_id, g, p)) as tp),
+x as (select case when pred > 0 then tp / pred else 0 end as p, case when gold > 0 then tp / gold else 0 end as r from n) select {_PRF} from x""")
 def op_q2_merge_pairs(spark, d):
-    # Pairs within groups are counted, not listed.
-    e = table(spark, d, "entity_records").where("canonical_name is not null")
-    pairs = F.sum(F.col("count") * (F.col("count") - 1) / 2).cast("long")
-    g = e.groupBy("book_id", F.lower("canonical_name")).count().agg(F.lit("gold").alias("kind"), pairs.alias("pairs"))
-    return g.unionByName(e.groupBy("book_id", F.lower("canonical_name"), "tier").count().agg(F.lit("with tier").alias("kind"), pairs.alias("pairs")))
+    """Pair F1 of grouping records by first word and tier against grouping them by name. Pairs are counted, not listed."""
+    e = table(spark, d, "entity_records").where("canonical_name is not null").select("book_id", F.lower("canonical_name").alias("g"), F.concat(F.lower(F.split_part("canonical_name", F.lit(" "), F.lit(1))), F.coalesce("tier", F.lit(""))).alias("p"))
+    pairs = lambda name, *by: e.groupBy("book_id", *by).count().agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0.0)).alias(name))
+    n = pairs("gold", "g").join(F.broadcast(pairs("pred", "p"))).join(F.broadcast(pairs("tp", "g", "p")))
+    return n.select(*prf(F.col("tp"), F.col("pred"), F.col("gold")))
 
 
-@q(f"with {PAY_SQL}, x as (select field, regexp_replace(coalesce(value, ''), '\\s+', '', 'g') as v, regexp_replace(coalesce(raw_value, ''), '\\s+|\\?', '', 'g') as w from state_payloads) select field, count(*) as n, count(*) filter (where v = w) as equal from x group by 1")
+@q(f"with t as (select field, regexp_replace(value, '\\s+', '', 'g') as v, regexp_replace(raw_value, '\\s+|\\?', '', 'g') as w from state_payloads), n as (select field, count(v) as pred, count(w) as gold, count(*) filter (where v = w) as tp from t group by 1), x as (select field, case when pred > 0 then tp / pred else 0 end as p, case when gold > 0 then tp / gold else 0 end as r from n) select field, {_PRF} from x")
 def op_q3_fact_match(spark, d):
-    x = table(spark, d, "state_payloads").select("field", F.regexp_replace(F.coalesce("value", F.lit("")), r"\s+", "").alias("v"), F.regexp_replace(F.coalesce("raw_value", F.lit("")), r"\s+|\?", "").alias("w"))
-    return x.groupBy("field").agg(F.count("*").alias("n"), F.count(F.when(F.col("v") == F.col("w"), 1)).alias("equal"))
+    """Precision, recall and F1 of stated values against the wording they come from, blanks apart, per field."""
+    t = table(spark, d, "state_payloads").select("field", F.regexp_replace("value", r"\s+", "").alias("v"), F.regexp_replace("raw_value", r"\s+|\?", "").alias("w"))
+    n = t.groupBy("field").agg(F.count("v").alias("pred"), F.count("w").alias("gold"), F.count(F.when(F.col("v") == F.col("w"), 1)).alias("tp"))
+    return n.select("field", *prf(F.col("tp"), F.col("pred"), F.col("gold")))
 
 
 @q("select count(*) as chunks, count(*) filter (where sha256(content) = content_hash) as reproduced from (select distinct raw_chunk_id, content, content_hash from raw_chunks)")
@@ -400,17 +443,25 @@ def op_q4_hash_reproduction(spark, d):
     return c.agg(F.count("*").alias("chunks"), F.count(F.when(F.sha2("content", 256) == F.col("content_hash"), 1)).alias("reproduced"))
 
 
-@q("""with g as (select distinct query_id, raw_chunk_id from search_hits where route = 'structured' and score is not null), a as (select query_id, raw_chunk_id from fused_ranks)
-select count(distinct g.query_id) as questions, count(distinct a.query_id) as answered from g left join a on a.query_id = g.query_id and a.raw_chunk_id = g.raw_chunk_id""")
+@q("""with g as (select distinct query_id, raw_chunk_id from search_hits where route = 'structured' and score is not null), a as (select distinct query_id, raw_chunk_id from fused_ranks), j as (select g.query_id, bool_or(a.query_id is not null) as ok from g left join a on a.query_id = g.query_id and a.raw_chunk_id = g.raw_chunk_id group by 1)
+select count(*) as questions, count(*) filter (where ok) as answered, round(count(*) filter (where ok) / count(*), 4) as accuracy from j""")
 def op_q5_question_accuracy(spark, d):
+    """Share of questions answered from the right place; a question without an answer is a miss."""
     g = table(spark, d, "search_hits").where("route = 'structured' and score is not null").select("query_id", "raw_chunk_id").distinct()
-    a = table(spark, d, "fused_ranks").select("query_id", "raw_chunk_id", F.col("query_id").alias("hit"))
-    return g.join(a, ["query_id", "raw_chunk_id"], "left").agg(F.countDistinct("query_id").alias("questions"), F.countDistinct("hit").alias("answered"))
+    a = table(spark, d, "fused_ranks").select("query_id", "raw_chunk_id", F.lit(True).alias("hit")).distinct()
+    j = g.join(a, ["query_id", "raw_chunk_id"], "left").groupBy("query_id").agg(F.max(F.coalesce("hit", F.lit(False))).alias("ok"))
+    n = F.count(F.when(F.col("ok"), 1))
+    return j.agg(F.count("*").alias("questions"), n.alias("answered"), F.round(n / F.count("*"), 4).alias("accuracy"))
 
 
-@q(f"{_CAND} select relation_type, round(avg(case when gap <= 10 then 1.0 else 0.0 end), 4) as precision from (select case when same then 'causes' else 'enables' end as relation_type, gap from g) group by 1")
+@q(f"{_CAND}, gold as (select a.f as source, b.f as target from x a join x b using (p) where b.o > a.o group by 1, 2 having count(distinct p) >= 2) select relation_type, count(*) as edges, round(avg(case when gold.source is not null then 1.0 else 0.0 end), 4) as precision from (select source, target, case when same then 'causes' else 'enables' end as relation_type from g) left join gold using (source, target) group by 1")
 def op_q6_edge_precision(spark, d):
-    return graph.candidates(linkable(spark, d)).groupBy("relation_type").agg(F.round(F.avg(F.when(F.col("gap") <= 10, 1.0).otherwise(0.0)), 4).alias("precision"))
+    """Share of the proposed links of each type that are true ones: here those whose events share two participants or more."""
+    e = linkable(spark, d)
+    x = e.select("fact", "ord", F.explode(F.array_distinct("who")).alias("p"))
+    c = graph.candidates(e).select("source", "target", "relation_type")
+    both = c.join(x.select(F.col("fact").alias("source"), "p"), "source").join(x.select(F.col("fact").alias("target"), "p"), ["target", "p"]).groupBy("source", "target").agg(F.countDistinct("p").alias("shared"))
+    return c.join(both, ["source", "target"]).groupBy("relation_type").agg(F.count("*").alias("edges"), F.round(F.avg(F.when(F.col("shared") >= 2, 1.0).otherwise(0.0)), 4).alias("precision"))
 
 
 # ---- streams and operations
