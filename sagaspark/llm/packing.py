@@ -1,6 +1,7 @@
 """Filling containers of fixed capacity with texts, under several limits at once.
 
-A text is a vector: its tokens, one segment, its loss-bearing tokens. A container is filled by the dot-product
+A text is a vector: its tokens, one segment, its loss-bearing tokens. Its first line is what the rest answers to and bears
+no loss, nor does a segment's first token, which has nothing to be predicted from. A container is filled by the dot-product
 heuristic: of the items that still fit in every dimension, take the one whose vector points most along what is left.
 Items are spread over shards by hash; each shard is packed on its own and leaves at most a few containers open.
 """
@@ -92,7 +93,7 @@ def cut_text(text: str, capacity: int, ids: list[int], widths: np.ndarray, encod
 
 
 def sized_items(docs: DataFrame, specs: list[tuple[int, int]], key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Items to pack for each (spec_id, capacity): spec_id, id, piece, char_start, char_end, tokens. Only too long texts are cut."""
+    """Items to pack for each (spec_id, capacity): spec_id, id, piece, char_start, char_end, tokens, loss_tokens. Only too long texts are cut."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, widths = _encoder(tokenizer)
@@ -100,13 +101,14 @@ def sized_items(docs: DataFrame, specs: list[tuple[int, int]], key: str, text: s
             rows = []
             for i, t in zip(f["id"], f["t"]):
                 ids = enc.encode_ordinary(t)
+                asked = len(enc.encode_ordinary(t[: t.find("\n") + 1]))
                 for spec, capacity in specs:
                     parts = cut_text(t, capacity, ids, widths, enc.encode_ordinary)
-                    rows += [(spec, i, k, *p) for k, p in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=["spec_id", "id", "piece", "char_start", "char_end", "tokens"])
+                    rows += [(spec, i, k, *p, max(0, p[2] - max(1, 0 if k else asked))) for k, p in enumerate(parts)]
+            yield pd.DataFrame(rows, columns=["spec_id", "id", "piece", "char_start", "char_end", "tokens", "loss_tokens"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).dropna().mapInPandas(run, f"spec_id int, id {kind}, piece int, char_start long, char_end long, tokens int")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).dropna().mapInPandas(run, f"spec_id int, id {kind}, piece int, char_start long, char_end long, tokens int, loss_tokens int")
 
 
 def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -190,12 +192,15 @@ def pack(items: DataFrame, limits: DataFrame, shard_items: int = SHARD_ITEMS) ->
 def pack_documents(docs: DataFrame, specs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """Containers of every spec filled with all texts: spec_id, container, key, piece, char_start, char_end, tokens.
 
-    The specs are a short stated list. A segment's first token has nothing to be predicted from, so a text bears one
-    loss token less than it has tokens. A container takes at most one segment per 8 tokens of capacity. Null texts are left out, an
-    empty text is an item of no tokens; a repeated document is packed as often as it comes.
+    The specs are a short stated list. A container takes at most one segment per 8 tokens of capacity, and of loss-bearing
+    tokens the share of its capacity that lies half way between their share of all tokens and the whole; a piece that alone
+    bears more has a container of its own. Null texts are left out, an empty text is an item of no tokens; a repeated
+    document is packed as often as it comes.
     """
     s = specs.where("spec_id is not null and capacity_tokens >= 1").dropDuplicates(["spec_id"])
-    limits = s.select("spec_id", "capacity_tokens", F.greatest(F.lit(1), F.floor(F.col("capacity_tokens") / 8)).alias("max_segments"), F.col("capacity_tokens").alias("max_loss_tokens"))
     listed = sorted((r.spec_id, r.capacity_tokens) for r in s.collect())
-    items = cut(sized_items(docs, listed, key, text, tokenizer)).withColumn("loss_tokens", F.greatest(F.lit(0), F.col("tokens") - 1))
-    return pack(items, limits).select("spec_id", "container", F.col("id").alias(key), "piece", "char_start", "char_end", "tokens")
+    items = cut(sized_items(docs, listed, key, text, tokenizer))
+    share = items.groupBy("spec_id").agg((F.sum("loss_tokens") / F.greatest(F.sum("tokens"), F.lit(1))).alias("share"))
+    most = F.ceil(F.col("capacity_tokens") * (1 + F.coalesce("share", F.lit(1.0))) / 2)
+    limits = s.join(F.broadcast(share), "spec_id", "left").select("spec_id", "capacity_tokens", F.greatest(F.lit(1), F.floor(F.col("capacity_tokens") / 8)).alias("max_segments"), most.alias("max_loss_tokens"))
+    return pack(items, limits).select("spec_id", "container", F.col("id").alias(key), "piece", "char_start", "char_end", "tokens", "loss_tokens")

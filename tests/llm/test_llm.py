@@ -207,3 +207,17 @@ def test_linked_records(spark):
 def test_queries_are_registered():
     assert {f"p{n}_found" for n in (1, 4, 6, 7, 9, 10)} < set(queries.QUERIES) and set(queries.ORACLE) < set(queries.QUERIES)
     assert unicodedata.normalize("NFC", "é") == "é"
+
+
+def test_loss_bearing_tokens_are_limited(spark):
+    _encoder()
+    d = spark.createDataFrame([(k, ("question " * (k % 5) + "\n" if k % 5 else "") + "answer words here " * (3 + k % 7)) for k in range(200)], "doc_id long, text string")
+    s = spark.createDataFrame([(1, 128)], "spec_id int, capacity_tokens int")
+    out = packing.pack_documents(d, s).toPandas()
+    share = out.loss_tokens.sum() / out.tokens.sum()
+    boxes = out.groupby("container").agg(t=("tokens", "sum"), n=("tokens", "size"), loss=("loss_tokens", "sum"))
+    most = int(np.ceil(128 * (1 + share) / 2))
+    assert (boxes.t <= 128).all() and (boxes.n <= 16).all() and (boxes.loss <= most).all() and most < 128
+    assert (boxes.loss > most - 20).any() and out.tokens.sum() / (128 * len(boxes)) > 0.9
+    one = out.sort_values("doc_id").iloc[0]
+    assert one.loss_tokens == one.tokens - 1 and out[out.doc_id == 4].loss_tokens.iloc[0] < out[out.doc_id == 4].tokens.iloc[0] - 1
