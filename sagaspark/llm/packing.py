@@ -111,6 +111,48 @@ def sized_items(docs: DataFrame, specs: list[tuple[int, int]], key: str, text: s
     return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).dropna().mapInPandas(run, f"spec_id int, id {kind}, piece int, char_start long, char_end long, tokens int, loss_tokens int")
 
 
+def _pick_in_two(classes: np.ndarray, limits: np.ndarray, used: np.ndarray, count: np.ndarray):
+    """The class of largest product with what is left, where classes differ in two dimensions only.
+
+    Classes are sorted by the first of the two. From the largest that fits in it downwards they are tried in stretches that
+    double, until no smaller one can reach the best so far.
+    """
+    p, q = np.flatnonzero(np.ptp(classes, axis=0) > 0).tolist()
+    same = [(d, int(classes[0, d])) for d in range(classes.shape[1]) if d not in (p, q)]
+    spent = np.iinfo(np.int64).max
+    of = np.argsort(classes[:, p], kind="stable")
+    first, second = classes[of, p], classes[of, q].copy()
+    highest, dead = np.maximum.accumulate(second), 0
+
+    def pick(left: np.ndarray) -> int:
+        nonlocal of, first, second, highest, dead
+        if any(left[d] < v for d, v in same):
+            return -1
+        if dead * 2 > len(of):
+            keep = second != spent
+            of, first, second, dead = of[keep], first[keep], second[keep], 0
+            highest = np.maximum.accumulate(second)
+        lp, lq = int(left[p]), int(left[q])
+        a, b = lp / float(limits[p]) ** 2, lq / float(limits[q]) ** 2
+        hi, width, best, score = int(np.searchsorted(first, lp, side="right")), 128, -1, -1.0
+        while hi > 0:
+            lo = max(0, hi - width)
+            product = np.where(second[lo:hi] <= lq, first[lo:hi] * a + second[lo:hi] * b, -1.0)
+            k = int(product.argmax())
+            if product[k] > score:
+                if used[of[lo + k]] == count[of[lo + k]]:
+                    second[lo + k] = spent
+                    dead += 1
+                    continue
+                best, score = int(of[lo + k]), float(product[k])
+            if best >= 0 and lo and first[lo - 1] * a + min(lq, int(highest[lo - 1])) * b <= score:
+                break
+            hi, width = lo, width * 2
+        return best
+
+    return pick
+
+
 def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """Container number of each item; ``sizes`` is items x dimensions, ``limits`` the capacity in each.
 
@@ -134,6 +176,8 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
                 below[c] = n
                 c = n
             return c
+    elif (np.ptp(classes, axis=0) > 0).sum() == 2:
+        pick = _pick_in_two(classes, limits, used, count)
     else:
         live = np.arange(len(classes))
 

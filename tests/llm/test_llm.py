@@ -221,3 +221,26 @@ def test_loss_bearing_tokens_are_limited(spark):
     assert (boxes.loss > most - 20).any() and out.tokens.sum() / (128 * len(boxes)) > 0.9
     one = out.sort_values("doc_id").iloc[0]
     assert one.loss_tokens == one.tokens - 1 and out[out.doc_id == 4].loss_tokens.iloc[0] < out[out.doc_id == 4].tokens.iloc[0] - 1
+
+
+def test_pick_in_two_equals_scan():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        n = int(rng.integers(2, 60))
+        classes = np.unique(np.stack([rng.integers(0, 12, n), np.ones(n, int), rng.integers(0, 12, n)], axis=1), axis=0)
+        if (np.ptp(classes, axis=0) > 0).sum() != 2:
+            continue
+        limits, count, used = np.array([20, 5, 15]), rng.integers(1, 4, len(classes)), np.zeros(len(classes), np.int64)
+        pick = packing._pick_in_two(classes, limits, used, count)
+        while (used < count).any():
+            left = np.array([rng.integers(0, 21), rng.integers(0, 6), rng.integers(0, 16)])
+            c = pick(left)
+            fits = [k for k in range(len(classes)) if used[k] < count[k] and (classes[k] <= left).all()]
+            product = lambda k: float((classes[k] / limits) @ (left / limits))
+            if not fits:
+                assert c == -1
+                k = int(np.flatnonzero(used < count)[0])
+                used[k] += 1
+                continue
+            assert c in fits and abs(product(c) - max(map(product, fits)) + 0.0) < 1e-9
+            used[c] += 1
