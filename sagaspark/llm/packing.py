@@ -101,7 +101,8 @@ def sized_items(docs: DataFrame, specs: list[tuple[int, int]], key: str, text: s
             rows = []
             for i, t in zip(f["id"], f["t"]):
                 ids = enc.encode_ordinary(t)
-                asked = len(enc.encode_ordinary(t[: t.find("\n") + 1]))
+                head = len(t[: t.find("\n") + 1].encode("utf-8", "replace"))
+                asked = int(np.searchsorted(np.cumsum(widths[ids[:head]]), head, side="right")) if head else 0
                 for spec, capacity in specs:
                     parts = cut_text(t, capacity, ids, widths, enc.encode_ordinary)
                     rows += [(spec, i, k, *p, max(0, p[2] - max(1, 0 if k else asked))) for k, p in enumerate(parts)]
@@ -111,7 +112,7 @@ def sized_items(docs: DataFrame, specs: list[tuple[int, int]], key: str, text: s
     return docs.select(F.col(key).alias("id"), F.col(text).alias("t")).dropna().mapInPandas(run, f"spec_id int, id {kind}, piece int, char_start long, char_end long, tokens int, loss_tokens int")
 
 
-def _pick_in_two(classes: np.ndarray, limits: np.ndarray, used: np.ndarray, count: np.ndarray):
+def _pick_in_two(classes: np.ndarray, limits: np.ndarray, used: list[int], count: list[int]):
     """The class of largest product with what is left, where classes differ in two dimensions only.
 
     Classes are sorted by the first of the two. From the largest that fits in it downwards they are tried in stretches that
@@ -119,12 +120,12 @@ def _pick_in_two(classes: np.ndarray, limits: np.ndarray, used: np.ndarray, coun
     """
     p, q = np.flatnonzero(np.ptp(classes, axis=0) > 0).tolist()
     same = [(d, int(classes[0, d])) for d in range(classes.shape[1]) if d not in (p, q)]
-    spent = np.iinfo(np.int64).max
+    spent = np.inf
     of = np.argsort(classes[:, p], kind="stable")
-    first, second = classes[of, p], classes[of, q].copy()
+    first, second = classes[of, p].astype(float), classes[of, q].astype(float)
     highest, dead = np.maximum.accumulate(second), 0
 
-    def pick(left: np.ndarray) -> int:
+    def pick(left: list[int]) -> int:
         nonlocal of, first, second, highest, dead
         if any(left[d] < v for d, v in same):
             return -1
@@ -134,10 +135,13 @@ def _pick_in_two(classes: np.ndarray, limits: np.ndarray, used: np.ndarray, coun
             highest = np.maximum.accumulate(second)
         lp, lq = int(left[p]), int(left[q])
         a, b = lp / float(limits[p]) ** 2, lq / float(limits[q]) ** 2
-        hi, width, best, score = int(np.searchsorted(first, lp, side="right")), 128, -1, -1.0
+        hi, width, best, score = int(first.searchsorted(lp, side="right")), 512, -1, -1.0
         while hi > 0:
             lo = max(0, hi - width)
-            product = np.where(second[lo:hi] <= lq, first[lo:hi] * a + second[lo:hi] * b, -1.0)
+            other = second[lo:hi]
+            product = first[lo:hi] * a
+            product += other * b
+            product[other > lq] = -1.0
             k = int(product.argmax())
             if product[k] > score:
                 if used[of[lo + k]] == count[of[lo + k]]:
@@ -145,7 +149,7 @@ def _pick_in_two(classes: np.ndarray, limits: np.ndarray, used: np.ndarray, coun
                     dead += 1
                     continue
                 best, score = int(of[lo + k]), float(product[k])
-            if best >= 0 and lo and first[lo - 1] * a + min(lq, int(highest[lo - 1])) * b <= score:
+            if best >= 0 and lo and first[lo - 1] * a + min(lq, highest[lo - 1]) * b <= score:
                 break
             hi, width = lo, width * 2
         return best
@@ -162,14 +166,14 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     which = which.reshape(-1)
     order = np.argsort(which, kind="stable")
     begin = np.concatenate([[0], np.cumsum(count)])
-    used = np.zeros(len(classes), np.int64)
+    used, begin, count, rows = [0] * len(classes), begin.tolist(), count.tolist(), classes.tolist()
     out = np.empty(len(sizes), np.int64)
     scaled = classes / limits
     # Where no class is larger in one dimension and smaller in another, the product is largest for the last that fits.
     if (np.diff(classes, axis=0) >= 0).all():
         below = list(range(len(classes)))  # the next class at or below with items left, found by halving paths
 
-        def pick(left: np.ndarray) -> int:
+        def pick(left: list[int]) -> int:
             c = min(int(np.searchsorted(classes[:, d], left[d], side="right")) for d in range(classes.shape[1])) - 1
             while c >= 0 and used[c] == count[c]:
                 n = below[c] - (used[below[c]] == count[below[c]])
@@ -181,31 +185,31 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     else:
         live = np.arange(len(classes))
 
-        def pick(left: np.ndarray) -> int:
+        def pick(left: list[int]) -> int:
             nonlocal live
-            live = live[used[live] < count[live]]
-            fits = live[(classes[live] <= left).all(1)]
+            live = live[np.asarray(used)[live] < np.asarray(count)[live]]
+            fits = live[(classes[live] <= np.asarray(left)).all(1)]
             return int(fits[np.argmax(scaled[fits] @ (left / limits))]) if len(fits) else -1
 
     box, packed, total = 0, 0, len(sizes)
     while packed < total:
-        left = limits.copy()
+        left = limits.tolist()
         first = True
         while packed < total:
             c = pick(left)
             if c < 0:
                 if not first:
                     break
-                c = int(np.flatnonzero(used < count)[-1])
-            size = classes[c]
-            room = left[size > 0] // size[size > 0]
-            n = int(max(1, min(count[c] - used[c], room.min())))
-            out[order[begin[c] + used[c] : begin[c] + used[c] + n]] = box
+                c = next(k for k in range(len(rows) - 1, -1, -1) if used[k] < count[k])
+            size = rows[c]
+            n = max(1, min(count[c] - used[c], *(m // v for m, v in zip(left, size) if v > 0)))
+            at = begin[c] + used[c]
+            out[order[at : at + n]] = box
             used[c] += n
             packed += n
-            left = left - n * size
+            left = [m - n * v for m, v in zip(left, size)]
             first = False
-            if (left <= 0).any():
+            if min(left) <= 0:
                 break
         box += 1
     return out
