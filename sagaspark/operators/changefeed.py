@@ -65,6 +65,19 @@ def apply_patches(base: DataFrame | None, patches: DataFrame, keys: list[str], f
     return joined.where(alive).select(*keys, *out)
 
 
+def _versions(rows: DataFrame) -> DataFrame:
+    """One row per version, the smallest of what its deliveries say, and whether one without ordinal supersedes it (``asked``).
+
+    A delivery without ordinal asks for the version it names as it goes by, so that places are later looked up only there.
+    """
+    kinds = dict(rows.dtypes)
+    own = F.struct("ver", "op", "sup", "ord", F.lit(False).alias("asked"))
+    ask = F.struct(F.col("sup").alias("ver"), *(F.lit(None).cast(kinds[c]).alias(c) for c in ("op", "sup", "ord")), F.lit(True).alias("asked"))
+    sent = rows.select("fact", F.inline(F.when(F.col("ord").isNull() & F.col("sup").isNotNull(), F.array(own, ask)).otherwise(F.array(own))))
+    least = (F.min(c).alias(c) for c in ("op", "sup", "ord"))
+    return sent.groupBy("fact", "ver").agg(*least, F.max("asked").alias("asked"), F.min("asked").alias("absent")).where("not absent").drop("absent")
+
+
 def _places(v: DataFrame) -> DataFrame:
     """Adds each version's place: its own ordinal, or that of the version it supersedes, through as many as needed.
 
@@ -76,12 +89,26 @@ def _places(v: DataFrame) -> DataFrame:
     for _ in range(math.ceil(math.log2(nested + 1)) if nested else 0):
         walk = cut(walk.join(step, ["fact", "ptr"], "left").select("fact", "ver", "op", "sup", F.coalesce("nxt", "ptr").alias("ptr")))
         step = cut(step.join(step.select("fact", F.col("ptr").alias("nxt"), F.col("nxt").alias("far")), ["fact", "nxt"], "left").select("fact", "ptr", F.coalesce("far", "nxt").alias("nxt")))
-    at = known.select("fact", F.col("ver").alias("ptr"), F.col("ord").alias("place"))
-    found = walk.join(at, ["fact", "ptr"], "left").select("fact", "ver", "op", "sup", "place")
+    at = known.where("asked").select("fact", F.col("ver").alias("ptr"), F.col("ord").alias("place"))
+    found = cut(walk.join(at, ["fact", "ptr"], "left").select("fact", "ver", "op", "sup", "place"))
     placed = known.select("fact", "ver", "op", "sup", F.col("ord").alias("place")).unionByName(found)
     return placed.withColumn("place", F.coalesce(F.col("place").cast("long"), F.lit(-(1 << 40))))
 
 
+def _marked(v: DataFrame) -> DataFrame:
+    """Adds to each version the places from which others supersede it: the first (``low``) and the last (``high``).
+
+    In place of the operation stands its rank: 2 for a retract, 0 for an assert or none, else 1. Versions and
+    supersessions go through one exchange.
+    """
+    rank = F.when(F.col("op") == "retract", 2).when(F.col("op") != "assert", 1).otherwise(0)
+    none = F.lit(None)
+    own = F.struct("ver", "place", rank.alias("rank"), none.cast("long").alias("over"))
+    over = F.struct(F.col("sup").alias("ver"), none.cast("long").alias("place"), none.cast("int").alias("rank"), F.col("place").alias("over"))
+    sent = v.select("fact", F.inline(F.when(F.col("sup") != F.col("ver"), F.array(own, over)).otherwise(F.array(own))))
+    return sent.groupBy("fact", "ver").agg(F.max("place").alias("place"), F.max("rank").alias("rank"), F.min("over").alias("low"), F.max("over").alias("high")).where("place is not null")
+
+
 def _superseded_through_others(v: DataFrame) -> DataFrame:
     """Of versions at the same place, those that another one of it supersedes through versions at other places: fact, ver."""
     most = v.groupBy("fact").count().agg(F.max("count")).head()[0] or 0
@@ -109,20 +136,22 @@ def current_versions(claims: DataFrame, fact: str = "fact_id", version: str = "c
     id. Where versions that supersede one another in a ring hold the last place, none is last and there is no row.
 
     The feed is read once. Each version becomes an operation on its fact at the position (place, not superseded there,
-    not an assert, id): a retract deletes, all others insert. The operations are composed to patches over ranges of
+    not an assert, id): a retract deletes, and so does a version superseded at its place; all others insert. What is
+    superseded from a later place can't be last and is left out. The operations are composed to patches over ranges of
     places, these to one patch per fact, and applied to an empty table.
     """
     rows = claims.select(F.col(fact).alias("fact"), F.col(version).alias("ver"), F.col(operation).alias("op"), F.col(supersedes).alias("sup"), F.col(ordinal).alias("ord")).where("fact is not null and ver is not null")
-    v = cut(_places(cut(rows.groupBy("fact", "ver").agg(F.min("op").alias("op"), F.min("sup").alias("sup"), F.min("ord").alias("ord")))))
-    over = v.where("sup is not null and sup != ver").select("fact", F.col("sup").alias("ver"), F.col("place").alias("over"))
-    met = v.select("fact", "ver", "place").join(over, ["fact", "ver"])
-    beaten = met.where("over = place").select("fact", "ver")
+    v = _places(cut(_versions(rows)))
+    back = F.coalesce(F.col("low") < F.col("place"), F.lit(False))
+    beaten = F.coalesce(F.col("high") == F.col("place"), F.lit(False))
+    marked = cut(_marked(v).select("fact", "ver", "place", "rank", beaten.alias("beaten"), back.alias("back"), "high").where("back or high is null or high <= place").drop("high"))
     # Only in a fact where one is superseded from an earlier place does a chain come back to a place it has left.
-    odd = cut(met.where("over < place").select("fact").distinct())
-    if odd.limit(1).count():
-        beaten = beaten.unionByName(_superseded_through_others(cut(v.join(odd, "fact", "left_semi"))))
-    v = v.join(beaten.distinct().withColumn("first", F.lit(True)), ["fact", "ver"], "left")
-    position = F.struct("place", F.col("first").isNull().alias("alone"), F.coalesce(F.col("op") != "assert", F.lit(False)).alias("later"), "ver")
-    ops = v.select("fact", position.alias("position"), F.when(F.col("op") == "retract", "delete").otherwise("insert").alias("kind"), "ver", F.col("first").isNull().alias("alone"))
-    patches = compose_patches(ops, ["fact"], "position", "kind", ["ver", "alone"], chunk=F.floor(F.col("position.place") / F.lit(range_width)))
-    return apply_patches(None, patches, ["fact"], ["ver", "alone"]).where("alone").select(F.col("fact").alias(fact), F.col("ver").alias(version))
+    odd = marked.where("back").select("fact").distinct()
+    if marked.where("back").limit(1).count():
+        more = _superseded_through_others(cut(v.join(odd, "fact", "left_semi"))).withColumn("more", F.lit(True))
+        marked = marked.join(more, ["fact", "ver"], "left").withColumn("beaten", F.col("beaten") | F.col("more").isNotNull())
+    position = F.struct("place", (~F.col("beaten")).alias("alone"), (F.col("rank") > 0).alias("later"), "ver")
+    kind = F.when(F.col("beaten") | (F.col("rank") == 2), "delete").otherwise("insert")
+    ops = marked.select("fact", position.alias("position"), kind.alias("kind"), "ver")
+    patches = compose_patches(ops, ["fact"], "position", "kind", ["ver"], chunk=F.floor(F.col("position.place") / F.lit(range_width)))
+    return apply_patches(None, patches, ["fact"], ["ver"]).select(F.col("fact").alias(fact), F.col("ver").alias(version))
